@@ -1,4 +1,326 @@
 """Named queries over the driver's tables, and the same as DuckDB SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+import hashlib
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from siftline.functions.ngrams import covering, fold, gram_hash
+from siftline.operators import index as ix
+from siftline.operators import search as op
+from siftline.plans.planner import decompose
+from siftline.sources import storage
+from siftline.sources.tables import indexable, table_corpus
+from siftline.sources.tree import BINARY_EXTENSIONS, MAX_FILE_SIZE
+
+CORPORA = {"documents": (["doc_id"], "text"), "pages": (["page_id"], "html"), "conversations": (["conv_id", "turn"], "text"), "benchmark": (["item_id"], "text")}
+
+
+def corpus(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
+    keys, text = CORPORA[name]
+    return table_corpus(spark.read.parquet(f"{sf_dir}/{name}.parquet"), keys, text)
+
+
+_indexes: dict[tuple[str, str, str], ix.Index] = {}
+
+
+def index_of(spark: SparkSession, sf_dir: str, name: str = "documents") -> ix.Index:
+    """The index of a corpus, built at its first use in an application."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _indexes:
+        root = f"{storage.work_dir(spark)}/index-{hashlib.md5(repr(key).encode()).hexdigest()}"
+        ix.build(spark, root, corpus(spark, sf_dir, name))
+        _indexes[key] = ix.Index.open(spark, root)
+    return _indexes[key]
+
+
+def _named(df: DataFrame, name: str) -> DataFrame:
+    for k in CORPORA[name][0]:
+        df = df.withColumnRenamed(f"key_{k}", k)
+    return df
+
+
+def _keep(name: str) -> list[str]:
+    return [f"key_{k}" for k in CORPORA[name][0]]
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+# name: (corpus, pattern, ignore case, whole-text check first)
+LINE_QUERIES = {
+    "regex_lines_literal": ("documents", "thtion", False, False),
+    "regex_lines_selective": ("documents", "license", False, False),
+    "regex_lines_alternation": ("documents", "Copyright|license", False, False),
+    "regex_lines_prefix_suffix": ("documents", "the.*tion", False, False),
+    "regex_lines_class": ("documents", r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", False, False),
+    "regex_lines_ignore_case": ("documents", "license", True, False),
+    "regex_lines_ignore_case_unicode": ("documents", "Émen", True, False),
+    "regex_lines_short_alternative": ("documents", "of|thtion", False, False),
+    "regex_lines_no_literal": ("documents", "x*", False, False),
+    "regex_lines_absent": ("documents", "zzzzqqqq", False, False),
+    "regex_lines_anchored_start": ("documents", "^The", False, False),
+    "regex_lines_anchored_end": ("documents", r"tion\.$", False, False),
+    "regex_lines_precheck_start": ("documents", "^The", False, True),
+    "regex_lines_precheck_end": ("documents", r"tion\.$", False, True),
+    "regex_lines_optional": ("documents", "(thtion)?ing", False, False),
+    "regex_lines_repeat": ("documents", "(th|re){2,3}ed", False, False),
+    "regex_lines_lazy": ("documents", "The.+?tion", False, False),
+    "regex_lines_pages": ("pages", 'href="[^"]*"', False, False),
+    "regex_lines_conversations": ("conversations", "(what|how|the) [a-z]+", True, False),
+    "regex_lines_benchmark": ("benchmark", "and the|tion of", False, False),
+}
+
+
+def _line_sql(name: str, pattern: str, ignore: bool, precheck: bool) -> str:
+    keys, text = CORPORA[name]
+    p = ("(?i)" if ignore else "") + pattern
+    p = p.replace("'", "''")
+    k = ", ".join(keys)
+    first = f" WHERE regexp_matches(coalesce({text}, ''), '{p}')" if precheck else ""
+    return (
+        f"SELECT {k}, i AS line_number, ls[i] AS line FROM (SELECT {k}, ls, unnest(range(1, len(ls) + 1))::INT AS i FROM "
+        f"(SELECT {k}, string_split(coalesce({text}, ''), chr(10)) AS ls FROM {name}{first})) WHERE regexp_matches(ls[i], '{p}')"
+    )
+
+
+def _line_query(name: str, pattern: str, ignore: bool, precheck: bool) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        found = ix.search(index_of(spark, sf_dir, name), corpus(spark, sf_dir, name), pattern, ignore, _keep(name), compat_precheck=precheck)
+        return _named(found, name)
+
+    return run
+
+
+for _name, _spec in LINE_QUERIES.items():
+    QUERIES[_name], ORACLES[_name] = _line_query(*_spec), _line_sql(*_spec)
+
+
+def query(oracle: str | None = None):
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return add
+
+
+@query(_line_sql("documents", "the.*tion", False, False))
+def brute_force_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _named(op.brute(corpus(spark, sf_dir), "the.*tion", keep=_keep("documents")), "documents")
+
+
+@query(_line_sql("documents", "the.*tion", False, False))
+def chosen_scan_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A common pattern, for which counting candidates leads to a scan."""
+    found = ix.search(index_of(spark, sf_dir), corpus(spark, sf_dir), "the.*tion", keep=_keep("documents"), choose=True)
+    return _named(found, "documents")
+
+
+@query("SELECT doc_id::VARCHAR AS path, n AS line_number, line FROM (SELECT doc_id, unnest(range(1, len(ls) + 1))::INT AS n, unnest(ls) AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)) WHERE regexp_matches(line, 'license') ORDER BY path, line_number")
+def sorted_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op.in_order(ix.search(index_of(spark, sf_dir), corpus(spark, sf_dir), "license"))
+
+
+@query("SELECT doc_id FROM documents WHERE regexp_matches(coalesce(text, ''), 'thtion')")
+def file_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = decompose("thtion")
+    found = index_of(spark, sf_dir).prune(corpus(spark, sf_dir), plan)
+    return found.where(F.col("content").rlike(plan.java)).select(F.col("key_doc_id").alias("doc_id"))
+
+
+@query("SELECT doc_id, count(*) AS n_lines FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents) WHERE regexp_matches(line, '[Tt]he [a-z]+') GROUP BY doc_id")
+def match_counts_per_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ix.search(index_of(spark, sf_dir), corpus(spark, sf_dir), "[Tt]he [a-z]+", keep=["key_doc_id"])
+    return found.groupBy(F.col("key_doc_id").alias("doc_id")).agg(F.count(F.lit(1)).alias("n_lines"))
+
+
+_SUB = (
+    "SELECT doc_id, i AS line_number, list_transform(ms, lambda m: m) AS texts FROM (SELECT doc_id, i, regexp_extract_all(ls[i], '{p}') AS ms FROM "
+    "(SELECT doc_id, ls, unnest(range(1, len(ls) + 1))::INT AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents))) WHERE len(ms) > 0"
+)
+
+
+@query(_SUB.format(p="th[a-z]*tion"))
+def submatch_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ix.search(index_of(spark, sf_dir), corpus(spark, sf_dir), "th[a-z]*tion", keep=["key_doc_id"], with_submatches=True)
+    line = F.col("line").cast("binary")
+    texts = F.transform("submatches", lambda s: F.substring(line, s["start"] + 1, s["end"] - s["start"]).cast("string"))
+    return found.select(F.col("key_doc_id").alias("doc_id"), "line_number", texts.alias("texts"))
+
+
+@query(
+    "WITH l AS (SELECT doc_id, unnest(range(1, len(ls) + 1))::INT AS line_number, unnest(ls) AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)), "
+    "f AS (SELECT doc_id, line_number, line, instr(line, 'license') AS at FROM l WHERE contains(line, 'license')) "
+    "SELECT doc_id, line_number, strlen(left(line, at::INT - 1))::INT AS first_start, strlen(left(line, at::INT - 1))::INT + 7 AS first_end FROM f"
+)
+def submatch_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ix.search(index_of(spark, sf_dir), corpus(spark, sf_dir), "license", keep=["key_doc_id"], with_submatches=True)
+    first = F.get("submatches", 0)
+    return found.select(F.col("key_doc_id").alias("doc_id"), "line_number", first["start"].alias("first_start"), first["end"].alias("first_end"))
+
+
+@query(
+    "WITH l AS (SELECT doc_id, unnest(range(1, len(ls) + 1)) AS n, unnest(ls) AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)) "
+    "SELECT '{\"path\":\"' || doc_id || '\",\"line_number\":' || n || ',\"line\":\"' || replace(replace(replace(line, '\\', '\\\\'), '\"', '\\\"'), chr(9), '\\t') || '\",\"submatches\":[{\"start\":' || strlen(left(line, instr(line, 'license')::INT - 1)) || ',\"end\":' || (strlen(left(line, instr(line, 'license')::INT - 1)) + 7) || '}]}' AS json "
+    "FROM l WHERE contains(line, 'license') AND len(line) - len(replace(line, 'license', '')) = 7"
+)
+def jsonl_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ix.search(index_of(spark, sf_dir), corpus(spark, sf_dir), "license", with_submatches=True)
+    return op.json_lines(found.where(F.size("submatches") == 1))
+
+
+@query("SELECT doc_id || ':' || n || ':' || line AS text FROM (SELECT doc_id, unnest(range(1, len(ls) + 1)) AS n, unnest(ls) AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)) WHERE contains(line, 'license')")
+def text_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op.text_lines(ix.search(index_of(spark, sf_dir), corpus(spark, sf_dir), "license"))
+
+
+@query("SELECT conv_id, turn, unnest(range(1, len(ls) + 1))::INT AS line_number, unnest(ls) AS line FROM (SELECT conv_id, turn, string_split(coalesce(text, ''), chr(10)) AS ls FROM conversations)")
+def line_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _named(op.lines(corpus(spark, sf_dir, "conversations"), _keep("conversations")), "conversations")
+
+
+_TRIGRAMS = "SELECT DISTINCT item_id, substr(low, i::INT, 3) AS gram FROM (SELECT item_id, low, unnest(range(1, len(low) - 1)) AS i FROM (SELECT item_id, lower(text) AS low FROM benchmark WHERE strlen(text) = len(text)))"
+
+
+def _trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All trigrams of ASCII items, as text: each is a gram of the index."""
+    from siftline.functions.ngrams import SHORTEST
+
+    ascii_only = corpus(spark, sf_dir, "benchmark").where(F.octet_length("content") == F.length("content"))
+    low = ascii_only.select(F.col("key_item_id").alias("item_id"), F.lower("content").alias("low")).where(F.length("low") >= SHORTEST)
+    return low.select("item_id", F.explode(F.sequence(F.lit(1), F.length("low") - 2)).alias("i"), "low").select(
+        "item_id", F.substring(F.col("low"), F.col("i"), F.lit(SHORTEST)).alias("gram")
+    ).distinct()
+
+
+@query(f"SELECT gram, count(*) AS n_items, min(item_id) AS first_item, max(item_id) AS last_item FROM ({_TRIGRAMS}) GROUP BY gram")
+def trigram_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _trigrams(spark, sf_dir).groupBy("gram").agg(
+        F.count(F.lit(1)).alias("n_items"), F.min("item_id").alias("first_item"), F.max("item_id").alias("last_item")
+    )
+
+
+@query("SELECT DISTINCT item_id FROM benchmark WHERE strlen(text) = len(text) AND contains(lower(text), 'tion')")
+def postings_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Postings of the grams of a literal, joined to the files and verified."""
+    plan = decompose("(?i:tion)")
+    found = index_of(spark, sf_dir, "benchmark").prune(corpus(spark, sf_dir, "benchmark"), plan)
+    ok = found.where((F.octet_length("content") == F.length("content")) & F.contains(F.lower("content"), F.lit("tion")))
+    return ok.select(F.col("key_item_id").alias("item_id")).distinct()
+
+
+def _files_with(spark: SparkSession, sf_dir: str, literal: str) -> DataFrame:
+    """doc_id of documents with a literal, by all of its covering grams and then by itself."""
+    found = index_of(spark, sf_dir).prune(corpus(spark, sf_dir), decompose(literal))
+    return found.where(F.contains("content", F.lit(literal))).select(F.col("key_doc_id").alias("doc_id"))
+
+
+@query("SELECT doc_id FROM documents WHERE contains(text, 'thtion') INTERSECT SELECT doc_id FROM documents WHERE contains(text, 'reble')")
+def posting_intersect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _files_with(spark, sf_dir, "thtion").intersect(_files_with(spark, sf_dir, "reble"))
+
+
+@query("SELECT doc_id FROM documents WHERE contains(text, 'thtion') UNION SELECT doc_id FROM documents WHERE contains(text, 'license')")
+def posting_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _files_with(spark, sf_dir, "thtion").union(_files_with(spark, sf_dir, "license")).distinct()
+
+
+@query("SELECT p AS pattern, 0::BIGINT AS lost FROM (SELECT unnest(['thtion', 'license', 'Copyright|license', 'the.*tion', 'of|thtion', '^The', 'zzzzqqqq']) AS p)")
+def candidate_soundness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with a matching line that the index doesn't offer, for each pattern."""
+    out = None
+    for pattern in ("thtion", "license", "Copyright|license", "the.*tion", "of|thtion", "^The", "zzzzqqqq"):
+        plan = decompose(pattern)
+        docs = corpus(spark, sf_dir)
+        matching = op.verify(docs, plan, ["path"]).select("path").distinct()
+        offered = index_of(spark, sf_dir).prune(docs, plan).select("path")
+        one = matching.join(offered, "path", "left_anti").agg(F.count(F.lit(1)).alias("lost")).select(F.lit(pattern).alias("pattern"), "lost")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query()
+def candidate_pruning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of the files that are candidates."""
+    index, out = index_of(spark, sf_dir), None
+    for pattern in ("license", "thtion", "the.*tion"):
+        plan = decompose(pattern)
+        one = index.candidates(plan).agg(F.count(F.lit(1)).alias("candidates")).select(
+            F.lit(pattern).alias("pattern"), F.lit(plan.gram_count()).alias("grams"), "candidates", F.lit(index.file_count()).alias("files")
+        )
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query()
+def index_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = index_of(spark, sf_dir).manifest
+    return spark.createDataFrame([(m["files"], m["ngrams"], m["postings"], m["bytes_read"])], "files long, ngrams long, postings long, bytes_read long")
+
+
+@query("SELECT count(*) AS files, sum(strlen(coalesce(text, '')))::BIGINT AS bytes FROM documents")
+def index_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index_of(spark, sf_dir).files().agg(F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes"))
+
+
+@query()
+def gram_generation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The distinct grams of each document of the index."""
+    return index_of(spark, sf_dir).grams().select("path", F.size("grams").alias("n_grams"))
+
+
+@query()
+def covering_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Postings of each covering gram of a literal."""
+    grams = [(g.decode(), gram_hash(g)) for g in dict.fromkeys(covering(fold(b"general public license")))]
+    asked = spark.createDataFrame(grams, "text string, gram long")
+    return index_of(spark, sf_dir).postings().join(F.broadcast(asked), "gram").groupBy("text").agg(F.count(F.lit(1)).alias("n_files"))
+
+
+@query(
+    "SELECT page_id, url FROM pages WHERE strlen(coalesce(html, '')) BETWEEN 1 AND 1048576 AND lower(regexp_extract(url, '\\.([^./]+)$', 1)) NOT IN ("
+    + ", ".join(f"'{e.lower()}'" for e in BINARY_EXTENSIONS)
+    + ") AND instr(substr(html, 1, 512), chr(0)) = 0"
+)
+def scan_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    rows = pages.select("page_id", "url", F.octet_length("html").alias("size"), F.col("html").alias("content"))
+    return indexable(rows, F.col("url"), MAX_FILE_SIZE, BINARY_EXTENSIONS).select("page_id", "url")
+
+
+@query("SELECT row_number() OVER (ORDER BY doc_id::VARCHAR) - 1 AS file_id, doc_id::VARCHAR AS path FROM documents")
+def dense_file_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op.file_ids(corpus(spark, sf_dir).select("path")).select("file_id", "path")
+
+
+@query(
+    "SELECT count(*) AS files, count(*) FILTER (doc_id % 2 = 0 AND doc_id % 10 <> 4) AS reused, "
+    "sum(strlen(text)) FILTER (doc_id % 2 = 1 OR doc_id % 10 = 4)::BIGINT + count(*) FILTER (doc_id % 10 = 4) AS bytes_read FROM documents WHERE doc_id % 7 <> 6"
+)
+def incremental_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Index the even documents; then change some, remove some, add the odd ones and update."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    root = f"{storage.work_dir(spark)}/update-{hashlib.md5(repr((spark.sparkContext.applicationId, sf_dir)).encode()).hexdigest()}"
+    storage.delete(spark, root)
+    ix.build(spark, root, table_corpus(docs.where("doc_id % 2 = 0"), ["doc_id"], "text"))
+    later = docs.where("doc_id % 7 <> 6").withColumn("text", F.when(F.col("doc_id") % 10 == 4, F.concat("text", F.lit("!"))).otherwise(F.col("text")))
+    s = ix.update(spark, root, table_corpus(later, ["doc_id"], "text"))
+    return spark.createDataFrame([(s.files, s.reused_files, s.bytes_read)], "files long, reused long, bytes_read long")
+
+
+@query("SELECT md5(text) AS fingerprint, count(*) AS n_files, min(doc_id) AS first_doc FROM documents GROUP BY md5(text) HAVING count(*) > 1")
+def content_fingerprint_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = corpus(spark, sf_dir).select("key_doc_id", F.md5(F.col("content").cast("binary")).alias("fingerprint"))
+    return rows.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n_files"), F.min("key_doc_id").alias("first_doc")).where("n_files > 1")
+
+
+@query("SELECT quality, count(*) AS n_lines FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents) JOIN labels USING (doc_id) WHERE regexp_matches(line, 'thtion') GROUP BY quality")
+def matches_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ix.search(index_of(spark, sf_dir), corpus(spark, sf_dir), "thtion", keep=["key_doc_id"])
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
+    return found.join(labels, found["key_doc_id"] == labels["doc_id"]).groupBy("quality").agg(F.count(F.lit(1)).alias("n_lines"))
