@@ -1,4 +1,4 @@
-"""Queries opN_<name> over the driver's tables, with production parameters, over whole tables."""
+"""Queries opN_<name> and pipeline over the driver's tables, with production parameters, over whole tables."""
 
 from __future__ import annotations
 
@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import linededup, pii, quality, secrets, sharding
+import corpus_pipeline
+
+from . import decontaminate, licenses, linededup, packing, pii, quality, secrets, sharding, simhash, urlfilter
 from .base import table
 
 
@@ -18,19 +20,47 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(table(spark, sf_dir, "documents"))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.digest(table(spark, sf_dir, "documents"))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digest(table(spark, sf_dir, "documents"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.digest(table(spark, sf_dir, "documents"))
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(table(spark, sf_dir, "documents"))
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.digest(table(spark, sf_dir, "documents"))
+
+
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.digest(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_line_dedup, op2_secret_scan, op4_sharding, op6_quality_rules, op8_pii)
-}
-ORACLES: dict[str, str] = {"op1_line_dedup": linededup.ORACLE}
+    f.__name__: f
+    for f in (
+        op1_line_dedup, op2_secret_scan, op3_decontamination, op4_sharding, op5_license_scan,
+        op6_quality_rules, op7_simhash, op8_pii, op9_packing, op10_url_filter,
+    )
+} | {"pipeline": corpus_pipeline.run}
+ORACLES: dict[str, str] = {
+    "op1_line_dedup": linededup.ORACLE,
+    "op3_decontamination": decontaminate.ORACLE,
+    "op10_url_filter": urlfilter.ORACLE,
+} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
