@@ -27,8 +27,9 @@ class Rule:
 # anything back are possessive, so that no text costs more than linear time.
 BASE = (
     Rule("assign", r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*+[:=]\x20*+["']?([A-Za-z0-9+/_.=-]++)""", 1, 6),
-    Rule("access", r"AKIA[A-Z0-9]++", 0, 20),
-    Rule("hex", r"[0-9a-f]++", 0, 24),
+    # A run that is too short holds no match in any part of it, so the least length can stand in the pattern.
+    Rule("access", r"AKIA[A-Z0-9]{16,}+", 0, 20),
+    Rule("hex", r"[0-9a-f]{24,}+", 0, 24),
 )
 # Kinds that this scanner adds: private key headers and tokens with a vendor's prefix.
 ADDED = (
@@ -82,7 +83,8 @@ def scan(
         "left_semi",
     )
     fresh = cut(
-        texts.select("blob", spans_of(F.col("text"), rules).alias("spans"))
+        # The number keeps the filter, and with it the scan, from moving below the join to texts that need none.
+        texts.select("blob", spans_of(F.col("text"), rules).alias("spans"), F.monotonically_increasing_id().alias("n"))
         .where(F.size("spans") > 0)
         .dropDuplicates(["blob"])
         .select("blob", F.lit(version).alias("rule_version"), "spans")
