@@ -27,6 +27,8 @@ TERM = "term"
 RADIUS = 80
 #: Share of an entity's information that a term must give, and distinct texts that must show it.
 ALPHA, SUPPORT = 0.8, 3
+#: Terms to count that are broadcast at most (a string of letters each); more of them are joined by a shuffle.
+BROADCAST_TERMS = 100_000
 #: A term: a run of letters.
 WORD = r"\p{L}{3,}+"
 
@@ -120,7 +122,8 @@ def protect(
     pairs = cut(pairs)
     entities = near.select("h", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
     words = own.select(F.xxhash64("text").alias("h"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))).alias("term"))
-    counted = words.join(pairs.select("term").distinct(), "term", "left_semi").distinct()
+    asked = cut(pairs.select("term").distinct())
+    counted = words.join(F.broadcast(asked) if asked.count() <= BROADCAST_TERMS else asked, "term", "left_semi").distinct()
     n_term = counted.groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
     # h is uniform, so distinct texts are counted by their hashes.
     n = spans.select("h").distinct().count()
