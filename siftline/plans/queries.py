@@ -155,8 +155,8 @@ def submatch_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "WITH l AS (SELECT doc_id, unnest(range(1, len(ls) + 1))::INT AS line_number, unnest(ls) AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)), "
-    "f AS (SELECT doc_id, line_number, line, instr(line, 'license') AS at FROM l WHERE contains(line, 'license')) "
-    "SELECT doc_id, line_number, strlen(left(line, at::INT - 1))::INT AS first_start, strlen(left(line, at::INT - 1))::INT + 7 AS first_end FROM f"
+    "f AS (SELECT doc_id, line_number, line, instr(line, 'license') AS place FROM l WHERE contains(line, 'license')) "
+    "SELECT doc_id, line_number, strlen(left(line, place::INT - 1))::INT AS first_start, strlen(left(line, place::INT - 1))::INT + 7 AS first_end FROM f"
 )
 def submatch_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = ix.search(index_of(spark, sf_dir), corpus(spark, sf_dir), "license", keep=["key_doc_id"], with_submatches=True)
@@ -299,17 +299,22 @@ def dense_file_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "SELECT count(*) AS files, count(*) FILTER (doc_id % 2 = 0 AND doc_id % 10 <> 4) AS reused, "
-    "sum(strlen(text)) FILTER (doc_id % 2 = 1 OR doc_id % 10 = 4)::BIGINT + count(*) FILTER (doc_id % 10 = 4) AS bytes_read FROM documents WHERE doc_id % 7 <> 6"
+    "SELECT (SELECT count(*) FROM documents) + (SELECT count(*) FROM conversations) AS files, (SELECT count(*) FROM documents WHERE lang <> 'en') AS reused, "
+    "((SELECT sum(strlen(text)) FROM documents WHERE lang = 'en') + (SELECT sum(strlen(text)) FROM conversations))::BIGINT AS bytes_read"
 )
 def incremental_update(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Index the even documents; then change some, remove some, add the odd ones and update."""
+    """Index documents and benchmark; then English documents change, benchmark goes, conversations come, and the index is updated."""
+
+    def of(name: str) -> DataFrame:
+        return corpus(spark, sf_dir, name).select(F.concat(F.lit(f"{name}/"), "path").alias("path"), "mtime", "size", "content")
+
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    older = docs.withColumn("text", F.when(F.col("lang") == "en", F.concat("text", F.lit("!"))).otherwise(F.col("text")))
+    before = table_corpus(older, ["doc_id"], "text").select(F.concat(F.lit("documents/"), "path").alias("path"), "mtime", "size", "content")
     root = f"{storage.work_dir(spark)}/update-{hashlib.md5(repr((spark.sparkContext.applicationId, sf_dir)).encode()).hexdigest()}"
     storage.delete(spark, root)
-    ix.build(spark, root, table_corpus(docs.where("doc_id % 2 = 0"), ["doc_id"], "text"))
-    later = docs.where("doc_id % 7 <> 6").withColumn("text", F.when(F.col("doc_id") % 10 == 4, F.concat("text", F.lit("!"))).otherwise(F.col("text")))
-    s = ix.update(spark, root, table_corpus(later, ["doc_id"], "text"))
+    ix.build(spark, root, before.unionByName(of("benchmark")))
+    s = ix.update(spark, root, of("documents").unionByName(of("conversations")))
     return spark.createDataFrame([(s.files, s.reused_files, s.bytes_read)], "files long, reused long, bytes_read long")
 
 
