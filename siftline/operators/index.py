@@ -65,7 +65,7 @@ def _publish(spark: SparkSession, root: str, grams: DataFrame, started: float, p
     kept = spark.read.parquet(f"{at}/grams")
     kept.select(file_id(F.col("path")).alias("file_id"), "path", "mtime", "size").write.parquet(f"{at}/files")
     tell("writing postings")
-    postings = kept.select(F.explode("grams").alias("gram"), file_id(F.col("path")).alias("file_id")).distinct()
+    postings = kept.select(F.explode("grams").alias("gram"), file_id(F.col("path")).alias("file_id"))
     postings.repartitionByRange("gram", "file_id").sortWithinPartitions("gram", "file_id").write.option("parquet.block.size", 32 << 20).parquet(f"{at}/postings")
     written = spark.read.parquet(f"{at}/postings")
     per_gram = written.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
@@ -189,7 +189,7 @@ class Index:
         # At most regex.LITERAL_LIMIT branches a side, of literals of bounded length.
         wanted = self.spark.createDataFrame(rows, "side int, branch int, gram long, n int")
         few = self.postings().where(F.col("gram").isin(sorted({r[2] for r in rows})))  # reaches the row groups' ranges
-        held = few.join(F.broadcast(wanted), "gram").groupBy("file_id", "side", "branch", "n").agg(F.count(F.lit(1)).alias("have"))
+        held = few.join(F.broadcast(wanted), "gram").groupBy("file_id", "side", "branch", "n").agg(F.count_distinct("gram").alias("have"))
         whole = held.where(F.col("have") == F.col("n"))
         return whole.groupBy("file_id").agg(F.count_distinct("side").alias("sides")).where(F.col("sides") == len(sides)).select("file_id")
 
