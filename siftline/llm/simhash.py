@@ -236,7 +236,9 @@ def links(distinct: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
             a, b = _many(*(np.concatenate(x) for x in held), threshold)
             yield pd.DataFrame({"a": a, "b": b})
 
-    spread_out = distinct.select("fp").mapInPandas(spread, "anchor long, fp long, home boolean")
+    # Fingerprints are narrow and each makes many replicas: an explicit number keeps them from being coalesced by their own size.
+    tasks = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread_out = distinct.select("fp").repartition(tasks, "fp").mapInPandas(spread, "anchor long, fp long, home boolean")
     met = spread_out.repartition("anchor").sortWithinPartitions("anchor")
     found = met.mapInPandas(compare, StructType([StructField("a", LongType()), StructField("b", LongType())]))
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
