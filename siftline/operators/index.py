@@ -4,6 +4,7 @@
   files     file_id, path, mtime, size                     one row for each file
   grams     path, mtime, size, content_hash, grams         what an update can use again
   postings  gram, file_id                                  sorted by both, so that row groups are ranges
+  counts    gram, n                                        files of each gram, sorted
 and MANIFEST.json its counts, without which a version isn't opened. Postings are rows, not arrays:
 a gram that all files have is spread over many row groups and tasks.
 """
@@ -28,6 +29,11 @@ from .search import file_id, verify
 FORMAT = 1
 #: With more candidates than this share of the files, postings aren't worth the join; the corpus is scanned.
 SCAN_SHARE = 0.6
+#: Candidates are broadcast, up to so many (8 bytes each); texts are never shuffled to meet them. With more, the corpus is scanned.
+BROADCAST_IDS = 4_000_000
+#: The rarest grams of a branch that are looked up. Any of them would do; further ones only narrow.
+GRAMS_PER_BRANCH = 8
+TABLES = ("files", "grams", "postings", "counts")
 
 
 class CorruptIndex(RuntimeError):
@@ -69,7 +75,8 @@ def _publish(spark: SparkSession, root: str, grams: DataFrame, started: float, p
     postings.repartitionByRange("gram", "file_id").sortWithinPartitions("gram", "file_id").write.option("parquet.block.size", 32 << 20).parquet(f"{at}/postings")
     written = spark.read.parquet(f"{at}/postings")
     per_gram = written.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-    ngrams, n_postings = per_gram.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    per_gram.repartitionByRange("gram").sortWithinPartitions("gram").write.parquet(f"{at}/counts")
+    ngrams, n_postings = spark.read.parquet(f"{at}/counts").agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     files, reused, read = kept.agg(
         F.count(F.lit(1)), F.coalesce(F.sum(F.col("reused").cast("long")), F.lit(0)), F.coalesce(F.sum(F.when(~F.col("reused"), F.col("size"))), F.lit(0))
     ).first()
@@ -145,7 +152,7 @@ class Index:
         except (ValueError, KeyError, TypeError) as e:
             raise CorruptIndex(f"{at}: {e}") from e
         index = cls(spark, at, manifest)
-        if not good or not all(storage.exists(spark, f"{at}/{t}/_SUCCESS") for t in ("files", "grams", "postings")):
+        if not good or not all(storage.exists(spark, f"{at}/{t}/_SUCCESS") for t in TABLES):
             raise CorruptIndex(f"{at}: tables are missing")
         try:
             ok = index.files().columns and index.postings().columns and index.files().count() == manifest["files"] and index.postings().count() == manifest["postings"]
@@ -180,39 +187,67 @@ class Index:
         """(file_id) of one gram, in order."""
         return self.postings().where(F.col("gram") == gram).select("file_id").orderBy("file_id")
 
-    def candidates(self, plan: QueryPlan) -> DataFrame | None:
-        """(file_id) of files that may match; None: any may. A file is there if each constrained side has a branch all of whose grams it has."""
+    def counts(self) -> DataFrame:
+        return self.spark.read.schema("gram long, n long").parquet(f"{self.at}/counts")
+
+    def file_path(self, id_: int) -> str | None:
+        row = self.files().where(F.col("file_id") == id_).first()
+        return row and row["path"]
+
+    def file_meta(self, id_: int) -> tuple[int, int] | None:
+        """(mtime, size)."""
+        row = self.files().where(F.col("file_id") == id_).first()
+        return row and (row["mtime"], row["size"])
+
+    def frequencies(self, plan: QueryPlan) -> dict[int, int]:
+        """Files of each gram of a plan; grams that the index lacks are left out. A plan's grams are bounded by its limits."""
+        grams = sorted({g for side in plan.sides for branch in side for g in branch.grams})
+        return {r["gram"]: r["n"] for r in self.counts().where(F.col("gram").isin(grams)).collect()} if grams else {}
+
+    def bound(self, plan: QueryPlan, frequency: dict[int, int] | None = None) -> int:
+        """No more candidates than this: the rarest gram of each branch bounds it, and the better side the plan."""
+        if plan.unconstrained:
+            return self.file_count()
+        n = self.frequencies(plan) if frequency is None else frequency
+        return min(sum(min(n.get(g, 0) for g in branch.grams) for branch in side) for side in plan.sides)
+
+    def candidates(self, plan: QueryPlan, frequency: dict[int, int] | None = None) -> DataFrame | None:
+        """(file_id) of files that may match; None: any may. A file is there if each constrained side has a branch all of whose grams looked up it has."""
         sides = plan.sides
         if not sides:
             return None
-        rows = [(s, b, g, len(branch.grams)) for s, side in enumerate(sides) for b, branch in enumerate(side) for g in branch.grams]
-        # At most regex.LITERAL_LIMIT branches a side, of literals of bounded length.
+        n = self.frequencies(plan) if frequency is None else frequency
+        rows = []
+        for s, side in enumerate(sides):
+            for b, branch in enumerate(side):
+                rarest = sorted(branch.grams, key=lambda g: n.get(g, 0))[:GRAMS_PER_BRANCH]
+                if n.get(rarest[0], 0):  # else no file has all of them
+                    rows += [(s, b, g, len(rarest)) for g in rarest]
         wanted = self.spark.createDataFrame(rows, "side int, branch int, gram long, n int")
         few = self.postings().where(F.col("gram").isin(sorted({r[2] for r in rows})))  # reaches the row groups' ranges
-        held = few.join(F.broadcast(wanted), "gram").groupBy("file_id", "side", "branch", "n").agg(F.count_distinct("gram").alias("have"))
+        # One shuffle, by file; both groupings below it are served by that.
+        held = few.join(F.broadcast(wanted), "gram").repartition("file_id").groupBy("file_id", "side", "branch", "n").agg(F.count_distinct("gram").alias("have"))
         whole = held.where(F.col("have") == F.col("n"))
         return whole.groupBy("file_id").agg(F.count_distinct("side").alias("sides")).where(F.col("sides") == len(sides)).select("file_id")
 
-    def prune(self, corpus: DataFrame, plan: QueryPlan, path: Column | None = None) -> DataFrame:
-        """The candidates of a corpus."""
-        found = self.candidates(plan)
-        if found is None:
+    def prune(self, corpus: DataFrame, plan: QueryPlan, path: Column | None = None, scan_share: float = SCAN_SHARE) -> DataFrame:
+        """The candidates of a corpus, or all of it where that costs less. scan_share above 1 asks for the candidates."""
+        if plan.unconstrained:
+            return corpus
+        frequency = self.frequencies(plan)
+        most = self.bound(plan, frequency)
+        if most == 0:
+            return corpus.where(F.lit(False))
+        if most > BROADCAST_IDS or most > scan_share * self.file_count():
             return corpus
+        found = self.candidates(plan, frequency).withColumnRenamed("file_id", "_file_id")
         named = corpus.withColumn("_file_id", file_id(F.col("path") if path is None else path))
-        return named.join(found.withColumnRenamed("file_id", "_file_id"), "_file_id", "left_semi").drop("_file_id")
+        return named.join(F.broadcast(found), "_file_id", "left_semi").drop("_file_id")
 
 
 def search(
-    index: Index, corpus: DataFrame, pattern: str, ignore_case: bool = False, keep: list[str] | None = None, choose: bool = False, **options: bool
+    index: Index, corpus: DataFrame, pattern: str, ignore_case: bool = False, keep: list[str] | None = None, scan_share: float = SCAN_SHARE, **options: bool
 ) -> DataFrame:
-    """All matching lines of the indexed corpus, as brute() finds them.
-
-    choose: count the candidates first, and scan if they are most of the files.
-    """
+    """All matching lines of the indexed corpus, as brute() finds them."""
     plan = decompose(pattern, ignore_case)
-    keep = keep or ["path"]
-    if choose and not plan.unconstrained:
-        n = index.candidates(plan).count()
-        if n > SCAN_SHARE * index.file_count():
-            return verify(corpus, plan, keep, **options)
-    return verify(index.prune(corpus, plan), plan, keep, **options)
+    return verify(index.prune(corpus, plan, scan_share=scan_share), plan, keep or ["path"], **options)

@@ -115,9 +115,9 @@ def brute_force_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(_line_sql("documents", "the.*tion", False, False))
-def chosen_scan_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A common pattern, for which counting candidates leads to a scan."""
-    found = ix.search(index_of(spark, sf_dir), corpus(spark, sf_dir), "the.*tion", keep=_keep("documents"), choose=True)
+def forced_index_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A common pattern, for which candidates are asked for all the same."""
+    found = ix.search(index_of(spark, sf_dir), corpus(spark, sf_dir), "the.*tion", keep=_keep("documents"), scan_share=2.0)
     return _named(found, "documents")
 
 
@@ -209,14 +209,14 @@ def trigram_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def postings_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Postings of the grams of a literal, joined to the files and verified."""
     plan = decompose("(?i:tion)")
-    found = index_of(spark, sf_dir, "benchmark").prune(corpus(spark, sf_dir, "benchmark"), plan)
+    found = index_of(spark, sf_dir, "benchmark").prune(corpus(spark, sf_dir, "benchmark"), plan, scan_share=2.0)
     ok = found.where((F.octet_length("content") == F.length("content")) & F.contains(F.lower("content"), F.lit("tion")))
     return ok.select(F.col("key_item_id").alias("item_id")).distinct()
 
 
 def _files_with(spark: SparkSession, sf_dir: str, literal: str) -> DataFrame:
     """doc_id of documents with a literal, by all of its covering grams and then by itself."""
-    found = index_of(spark, sf_dir).prune(corpus(spark, sf_dir), decompose(literal))
+    found = index_of(spark, sf_dir).prune(corpus(spark, sf_dir), decompose(literal), scan_share=2.0)
     return found.where(F.contains("content", F.lit(literal))).select(F.col("key_doc_id").alias("doc_id"))
 
 
@@ -238,7 +238,7 @@ def candidate_soundness(spark: SparkSession, sf_dir: str) -> DataFrame:
         plan = decompose(pattern)
         docs = corpus(spark, sf_dir)
         matching = op.verify(docs, plan, ["path"]).select("path").distinct()
-        offered = index_of(spark, sf_dir).prune(docs, plan).select("path")
+        offered = index_of(spark, sf_dir).prune(docs, plan, scan_share=2.0).select("path")
         one = matching.join(offered, "path", "left_anti").agg(F.count(F.lit(1)).alias("lost")).select(F.lit(pattern).alias("pattern"), "lost")
         out = one if out is None else out.unionByName(one)
     return out

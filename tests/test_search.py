@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from siftline import cli
 from siftline.operators import index as ix
 from siftline.operators import search as op
+from siftline.plans.planner import decompose
 from siftline.plans.regex import InvalidPattern
 from siftline.sources import tree
 from siftline.sources.tables import table_corpus
@@ -41,7 +42,9 @@ def test_index_never_changes_an_answer(spark, folder, tmp_path):
     ix.build(spark, str(tmp_path / "ix"), corpus)
     index = ix.Index.open(spark, str(tmp_path / "ix"))
     for pattern, ignore in PATTERNS:
-        assert rows(ix.search(index, corpus, pattern, ignore)) == rows(op.brute(corpus, pattern, ignore)), pattern
+        want = rows(op.brute(corpus, pattern, ignore))
+        assert rows(ix.search(index, corpus, pattern, ignore, scan_share=2.0)) == want, pattern
+    assert rows(ix.search(index, corpus, "hello")) == rows(op.brute(corpus, "hello"))
     got = {(os.path.basename(r[0]), r[1]) for r in rows(ix.search(index, corpus, "Hello"))}
     assert got == {("a.rs", 4)}
     assert {os.path.basename(r[0]) for r in rows(ix.search(index, corpus, "ab|hello"))} == {"a.rs", "b.rs", "doc.md", "_x.txt", "c.txt", "d.txt", "f.txt", "e.txt"}
@@ -51,6 +54,11 @@ def test_index_never_changes_an_answer(spark, folder, tmp_path):
     gram = index.postings().first()["gram"]
     assert index.has_ngram(gram) and not index.has_ngram(12345)
     assert index.postings_of(gram).count() >= 1
+    assert {r["gram"]: r["n"] for r in index.counts().collect()}[gram] == index.postings_of(gram).count()
+    one = index.files().first()
+    assert index.file_path(one["file_id"]) == one["path"] and index.file_meta(one["file_id"]) == (one["mtime"], one["size"])
+    plan = decompose("hello.*there")
+    assert index.candidates(plan).count() <= index.bound(plan) <= index.file_count()
 
 
 def test_lines_and_submatches(spark):
