@@ -13,10 +13,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import let
+from .base import cut, let
 
 WIDTH, THRESHOLD = 5, 0.8
-#: Sketches and items are broadcast up to so many rows (16 bytes of key and id each in a sketch); beyond, joins shuffle.
+#: Sketches and items are broadcast if they have at most so many rows and shingles, as counted; beyond, joins shuffle.
 BROADCAST_ROWS = 500_000
 WORD = r"[\p{L}\p{N}]++"
 
@@ -74,12 +74,12 @@ def contained(
     """
     items = benchmark.select(F.col(item_col).alias("own_item"), F.col(item_text_col).alias("text")).distinct()
     items = items.withColumn("item", F.xxhash64("own_item", "text"))
-    small = items.count() * 16 <= BROADCAST_ROWS
-    maybe = F.broadcast if small else (lambda df: df)
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("h"))
-    sketch = sketches(items, threshold)
+    sketch = cut(sketches(items, threshold))
+    texts = cut(items.select("item", "own_item", _shingles(F.col("text")).alias("parts")))
+    rows = max(sketch.count(), texts.agg(F.coalesce(F.sum(F.size("parts")), F.lit(0))).first()[0])
+    maybe = F.broadcast if rows <= BROADCAST_ROWS else (lambda df: df)
     hits = own.select("id", "h", F.explode(_hashes(F.col("text"))).alias("shingle")).join(maybe(sketch), "shingle").select("id", "h", "item").distinct()
-    texts = items.select("item", "own_item", _shingles(F.col("text")).alias("parts"))
     asked = hits.join(maybe(texts), "item").groupBy("id", "h").agg(F.collect_list(F.struct("own_item", "parts")).alias("asked"))
     asked = asked.select(F.col("id").alias("i"), F.col("h").alias("hh"), "asked")
     both = own.join(asked, F.col("id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("hh"))).dropDuplicates(["id", "h"])
