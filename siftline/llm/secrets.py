@@ -40,6 +40,8 @@ ADDED = (
 )
 RULES = BASE + ADDED
 VERSION = "v1"
+#: With a ledger, unseen blobs are broadcast up to so many (about 100 bytes each), so that an increment doesn't shuffle the texts it leaves out.
+BROADCAST_BLOBS = 200_000
 LEDGER = "blob string, rule_version string, spans array<struct<start:bigint,order:int,end:bigint,kind:string>>"
 
 
@@ -77,8 +79,12 @@ def scan(
     # One carrier per blob; it alone fetches the text. The key has the id too, so copies of a text don't meet in one task.
     carriers = own.groupBy("blob").agg(F.min("id").alias("carrier"))
     unseen = carriers.join(known.select("blob"), "blob", "left_anti") if ledger is not None else carriers
+    wanted = unseen.withColumnRenamed("blob", "b")
+    if ledger is not None:
+        wanted = cut(wanted)
+        wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_BLOBS else wanted
     texts = own.join(
-        unseen.withColumnRenamed("blob", "b"),
+        wanted,
         (F.col("blob") == F.col("b")) & F.col("id").eqNullSafe(F.col("carrier")),
         "left_semi",
     )
