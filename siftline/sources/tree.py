@@ -23,7 +23,7 @@ BINARY_EXTENSIONS = tuple(
     "png jpg jpeg gif bmp ico svg woff woff2 ttf eot mp3 mp4 avi mov pdf zip tar gz bz2 xz 7z rar exe dll so dylib "
     "o a beam class jar war pyc pyo DS_Store lock node wasm bin obj db sqlite sqlite3 log".split()
 )
-IGNORE_FILES = (".gitignore", ".ignore", ".rgxignore")
+IGNORE_FILES = (".gitignore", ".ignore", ".siftlineignore")
 MAX_FILE_SIZE = 1 << 20
 SNIFF = 512
 

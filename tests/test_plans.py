@@ -18,6 +18,7 @@ def cover(text: str) -> set[str]:
     return {g.decode() for g in ngrams.covering(text.encode())}
 
 
+# Grams and covering grams of known texts.
 def test_grams_of_known_texts():
     assert grams("he") == set()
     assert grams("hel") == {"hel"}

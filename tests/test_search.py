@@ -143,7 +143,7 @@ def test_scanner(tmp_path):
     put("nul", b"ab\0c")
     put(".gitignore", b"*.tmp\nign/*\n!ign/keep.txt\n/exact\ndeep/**/y\n# note\n")
     put("sub/.gitignore", b"*.me\n!keep.me\n")
-    put(".rgxignore", b"own.dat\n")
+    put(".siftlineignore", b"own.dat\n")
     os.symlink(tmp_path / "a.txt", tmp_path / "link.txt")
     os.symlink(tmp_path, tmp_path / "loop")
     names = lambda o: {os.path.relpath(p, os.path.realpath(tmp_path)) for p, _, _ in tree.scan(str(tmp_path), o)}
