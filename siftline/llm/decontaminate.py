@@ -18,6 +18,8 @@ from .base import cut, let
 WIDTH, THRESHOLD = 5, 0.8
 #: Sketches and items are broadcast if they have at most so many rows and shingles, as counted; beyond, joins shuffle.
 BROADCAST_ROWS = 500_000
+#: Documents to verify whose keys are broadcast at most (16 bytes each), so that only their texts are shuffled; beyond, all texts are.
+BROADCAST_DOCS = 500_000
 WORD = r"[\p{L}\p{N}]++"
 
 
@@ -79,10 +81,14 @@ def contained(
     texts = cut(items.select("item", "own_item", _shingles(F.col("text")).alias("parts")))
     rows = max(sketch.count(), texts.agg(F.coalesce(F.sum(F.size("parts")), F.lit(0))).first()[0])
     maybe = F.broadcast if rows <= BROADCAST_ROWS else (lambda df: df)
-    hits = own.select("id", "h", F.explode(_hashes(F.col("text"))).alias("shingle")).join(maybe(sketch), "shingle").select("id", "h", "item").distinct()
+    hits = cut(own.select("id", "h", F.explode(_hashes(F.col("text"))).alias("shingle")).join(maybe(sketch), "shingle").select("id", "h", "item").distinct())
+    keys = cut(hits.select(F.col("id").alias("i"), F.col("h").alias("hh")).distinct())
+    same = F.col("id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("hh"))
+    if keys.count() <= BROADCAST_DOCS:
+        own = own.join(F.broadcast(keys), same, "left_semi")
     asked = hits.join(maybe(texts), "item").groupBy("id", "h").agg(F.collect_list(F.struct("own_item", "parts")).alias("asked"))
     asked = asked.select(F.col("id").alias("i"), F.col("h").alias("hh"), "asked")
-    both = own.join(asked, F.col("id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("hh"))).dropDuplicates(["id", "h"])
+    both = own.join(asked, same).dropDuplicates(["id", "h"])
     shared = both.select(
         "id",
         F.inline(
