@@ -102,6 +102,11 @@ def lines_left(docs):
     return out
 
 
+def shingles(t, width=5):
+    w = re.findall(r"[^\W_]+", (t or "").lower())
+    return {tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set()
+
+
 def contained(docs, items, width=5, threshold=0.8):
     def shingles(t):
         w = re.findall(r"[^\W_]+", (t or "").lower())

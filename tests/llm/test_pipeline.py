@@ -1,11 +1,12 @@
 import os
+import random
 import sys
 
 sys.path.insert(0, os.path.dirname(__file__))
 import brute
 
 import corpus_pipeline as cp
-from siftline.llm import packing, quality
+from siftline.llm import jaccard, packing, quality
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -49,6 +50,44 @@ def test_stages_against_plain_versions(spark, tmp_path):
     assert packing.WINDOW == 4096 and quality.FIT_ROWS > 0
 
 
+def pairs(docs):
+    found, texts = jaccard.similar(docs)
+    of = {r["h"]: r["text"] for r in texts.collect()}
+    return [tuple(sorted((of[r["a"]], of[r["b"]]))) for r in found.collect()]
+
+
+def test_near_copies_go(spark):
+    rng = random.Random(5)
+    words, rows = [f"w{i}" for i in range(3000)], []
+    for k in range(24):
+        base = [rng.choice(words) for _ in range(rng.choice([60, 200, 700]))]
+        rows.append((4 * k, " ".join(base)))
+        for j, share in enumerate((0.01, 0.02, 0.04), 1):  # a changed word changes up to five shingles
+            rows.append((4 * k + j, " ".join(f"new{k}x{j}x{i}" if rng.random() < share else w for i, w in enumerate(base))))
+    rows += [(200, "too few words"), (201, "Too few, words"), (202, "too few word"), (203, ""), (204, None), (None, rows[0][1] + " more")]
+    texts = dict(rows[:-1])
+    shingles = {i: brute.shingles(t) for i, t in texts.items()}
+    near = {(a, b) for a in texts for b in texts if a < b and shingles[a] and 5 * len(shingles[a] & shingles[b]) >= 4 * len(shingles[a] | shingles[b])}
+    assert len(near) > 20 and sum((brute.fingerprint(texts[a]) ^ brute.fingerprint(texts[b])).bit_count() > 2 for a, b in near) > 10
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = pairs(docs.where("doc_id IS NOT NULL"))
+    assert set(got) == {tuple(sorted((texts[a], texts[b]))) for a, b in near if texts[a] != texts[b]} and len(got) == len(set(got))
+    full = docs.selectExpr("doc_id", "text", "'en' lang", "'s' source", "1L n_chars")
+    kept = {r["doc_id"] for r in cp.near_dedup(spark, full, "").collect()}
+    assert kept & set(texts) and not [p for p in near if set(p) <= kept] and {200, 202, 203, 204} <= kept and 201 not in kept
+
+
+def test_common_shingles_only_change_the_order(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "SAMPLE", 1)
+    passage = " ".join(f"common{i}" for i in range(60))
+    rows = [(k, passage + " " + " ".join(f"own{k // 2}x{j}" for j in range(20)) + f" end{k}") for k in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    s = {t: brute.shingles(t) for _, t in rows}
+    near = {(a, b) for a in s for b in s if a < b and 5 * len(s[a] & s[b]) >= 4 * len(s[a] | s[b])}
+    assert len(jaccard.common(docs.selectExpr("xxhash64(text) h", "text"))) == 56
+    assert set(pairs(docs)) == near and len(near) == 6
+
+
 def test_empty_documents(spark, tmp_path):
     d = str(tmp_path)
     spark.createDataFrame([], SCHEMA).write.parquet(f"{d}/documents.parquet")
