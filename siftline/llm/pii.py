@@ -1,10 +1,12 @@
 """Personal data: base spans by pattern, and terms that disclose them by corpus statistics.
 
-A term discloses a protected entity if the corpus says so: with p() as shares of distinct texts,
-pmi(term, entity) = log2(p(both) / (p(term) p(entity))) is the information that the term gives
-about the entity, and at ic(entity) = -log2 p(entity) it gives the entity away. Terms near an
-entity whose pmi reaches ALPHA * ic are spans too. Counts cover the whole corpus; equal texts
-count once.
+A term discloses a protected entity if the corpus says so. Entities are exact strings and what they
+share: an email's domain, the beginning of a number, the kind. p(entity) is the share of distinct texts
+with the entity, and p(entity | term) is estimated by the other texts, smoothed by p(entity):
+(both - 1 + p(entity)) / n_term. pmi = log2(p(entity | term) / p(entity)) is the information that the
+term gives about the entity, and at ic(entity) = -log2 p(entity) it gives the entity away. Terms whose
+pmi reaches ALPHA * ic are spans wherever they stand, in all texts. Terms count in whole texts, outside
+of emails; equal texts count once.
 """
 
 from __future__ import annotations
@@ -23,11 +25,9 @@ PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 BASE = ("email", "ip", "card", "phone")
 TERM = "term"
 
-#: A term is near an entity within so many code points.
-RADIUS = 80
-#: Share of an entity's information that a term must give, and distinct texts that must show it.
-ALPHA, SUPPORT = 0.8, 3
-#: Terms to count that are broadcast at most (a string of letters each); more of them are joined by a shuffle.
+#: Share of an entity's information that a term must give.
+ALPHA = 0.8
+#: Terms (a string of letters each) and texts (a hash and what is asked of it) that are broadcast at most; more of them are joined by a shuffle.
 BROADCAST_TERMS = 100_000
 #: A term: a run of letters.
 WORD = r"\p{L}{3,}+"
@@ -68,87 +68,91 @@ def kinds_of(text: Column) -> dict[str, Column]:
     }
 
 
-def _contexts(text: Column, kind: str, spans: Column) -> Column:
-    """The terms near each span: array<struct<entity,term,start,end>>."""
+def _entities(kind: str, spans: Column) -> Column:
+    """Entities of each span: the kind, the string, and what strings share."""
+
+    def of(s: Column) -> Column:
+        m = F.lower(s["m"])
+        if kind == "email":
+            wider = F.array(F.substring_index(m, "@", -1))
+        elif kind == "ip":
+            wider = F.array(F.substring_index(m, ".", 2), F.substring_index(m, ".", 3))
+        else:
+            wider = F.array(F.substring(_digits(m), 1, 4), F.substring(_digits(m), 1, 6))
+        return F.concat(F.array(F.lit(kind), F.concat(F.lit(f"{kind}:"), m)), F.transform(wider, lambda x: F.concat(F.lit(f"{kind}~"), x)))
+
+    return F.flatten(F.transform(spans, of))
+
+
+def _terms(text: Column) -> Column:
+    """The distinct terms of a text, outside of emails."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(F.regexp_replace(text, EMAIL, " ")), F.lit(WORD), F.lit(0)))
 
-    def terms(s: Column, part: Column, at: Column) -> Column:
-        entity = F.concat(F.lit(f"{kind}:"), F.lower(s["m"]))
-        return F.transform(
-            found(part, WORD),
-            lambda w: F.struct(
-                entity.alias("entity"), F.lower(w["m"]).alias("term"), (at + w["start"]).alias("start"), (at + w["end"]).alias("end")
-            ),
-        )
 
-    def near(s: Column) -> Column:
-        first = F.greatest(s["start"] - RADIUS, F.lit(0))
-        left = F.substring(text, (first + 1).cast("int"), (s["start"] - first).cast("int"))
-        right = F.substring(text, (s["end"] + 1).cast("int"), F.lit(RADIUS))
-        return F.concat(terms(s, left, first), terms(s, right, s["end"]))
+def _few(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= BROADCAST_TERMS else df
 
-    return F.flatten(F.transform(spans, near))
+
+def telling(own: DataFrame, spans: DataFrame, alpha: float = ALPHA) -> DataFrame:
+    """(term, entity) of terms that give an entity away. own: text, h; spans: h, entities of each row."""
+    n = float(max(spans.select("h").distinct().count(), 1))
+    copies = cut(spans.groupBy("h").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1").withColumnRenamed("h", "c"))
+    # Each row of a repeated text counts as a share of one, so that no pairs of text and term are shuffled.
+    weighted = own.join(_few(copies), F.col("h") == F.col("c"), "left").withColumn("w", 1 / F.coalesce("copies", F.lit(1)))
+    total = F.round(F.sum("w")).cast("long")
+    holds = spans.where(F.size("entities") > 0).select("h", F.explode("entities").alias("entity")).distinct()
+    # Where one text alone shows an entity, or a pair, no other text tells of it: its pmi is at most 0.
+    entities = cut(holds.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")).where("n_entity > 1"))
+    groups = holds.join(_few(entities.select("entity")), "entity", "left_semi").groupBy("h").agg(F.collect_list("entity").alias("es"))
+    groups = cut(groups.withColumnRenamed("h", "g"))
+    near = weighted.join(_few(groups), F.col("h") == F.col("g")).select("w", "es", F.explode(_terms(F.col("text"))).alias("term"))
+    pairs = near.select("w", "term", F.explode("es").alias("entity")).groupBy("entity", "term").agg(total.alias("both"))
+    pairs = cut(pairs.where("both > 1"))
+    asked = cut(pairs.select("term").distinct())
+    words = weighted.select("w", F.explode(_terms(F.col("text"))).alias("term"))
+    n_term = words.join(_few(asked), "term", "left_semi").groupBy("term").agg(total.alias("n_term"))
+    p = F.col("n_entity") / n
+    return (
+        pairs.join(entities, "entity")
+        .join(n_term, "term")
+        .withColumn("ic", -F.log2(p))
+        .withColumn("pmi", F.log2((F.col("both") - 1 + p) / F.col("n_term") / p))
+        .where((F.col("ic") > 0) & (F.col("pmi") >= alpha * F.col("ic")))
+        .select("term", "entity")
+    )
 
 
-def protect(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    radius: int = RADIUS,
-    alpha: float = ALPHA,
-    support: int = SUPPORT,
-) -> DataFrame:
+def protect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha: float = ALPHA) -> DataFrame:
     """One row (id, spans) for each input row: base spans by kind, then start, then term spans.
 
     Null text has no spans; repeated rows get equal results and count once in the statistics; null
     ids are kept; an empty table gives an empty result; further columns are ignored. A term that
     lies in a base span is no term span.
     """
-    if radius != RADIUS:
-        raise ValueError("the radius is fixed")
-    own = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    own = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
     text = F.col("text")
-    with_kinds = own.select("id", "text", *[v.alias(k) for k, v in kinds_of(text).items()])
-    with_terms = with_kinds.select(
-        "id",
-        F.xxhash64("text").alias("h"),
-        F.concat(*[of_kind(F.col(k), i, k) for i, k in enumerate(BASE)]).alias("base"),
-        F.concat(*[F.when(F.size(k) > 0, _contexts(text, k, F.col(k))).otherwise(F.array()) for k in BASE]).alias("near"),
-    )
-    spans = cut(with_terms)
-
-    # Support first: few pairs of term and entity are left, and only their terms are counted everywhere.
-    near = spans.where(F.size("near") > 0).select("h", F.explode("near").alias("n")).select("h", "n.entity", "n.term")
-    pairs = near.distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both")).where(F.col("both") >= support)
-    pairs = cut(pairs)
-    entities = near.select("h", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
-    words = own.select(F.xxhash64("text").alias("h"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))).alias("term"))
-    asked = cut(pairs.select("term").distinct())
-    counted = words.join(F.broadcast(asked) if asked.count() <= BROADCAST_TERMS else asked, "term", "left_semi").distinct()
-    n_term = counted.groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-    # h is uniform, so distinct texts are counted by their hashes.
-    n = spans.select("h").distinct().count()
-    telling = (
-        pairs.join(entities, "entity")
-        .join(n_term, "term")
-        .withColumn("pmi", F.log2(F.col("both") * float(max(n, 1)) / (F.col("n_term") * F.col("n_entity"))))
-        .withColumn("ic", F.log2(float(max(n, 1)) / F.col("n_entity")))
-        .where((F.col("ic") > 0) & (F.col("pmi") >= alpha * F.col("ic")))
-        .select("entity", "term")
-    )
-    hit = (
-        spans.where(F.size("near") > 0)
-        .select("id", "h", "base", F.explode("near").alias("n"))
-        .select("id", "h", "base", "n.*")
-        .join(telling, ["entity", "term"], "left_semi")
-        .where(~F.exists("base", lambda b: (b["start"] < F.col("end")) & (b["end"] > F.col("start"))))
-        .groupBy("id", "h")
-        .agg(F.array_sort(F.collect_set(F.struct("start", F.lit(len(BASE)).alias("order"), "end", F.lit(TERM).alias("kind")))).alias("terms"))
+    with_kinds = own.select("id", "h", *[v.alias(k) for k, v in kinds_of(text).items()])
+    spans = cut(
+        with_kinds.select(
+            "id",
+            "h",
+            F.concat(*[of_kind(F.col(k), i, k) for i, k in enumerate(BASE)]).alias("base"),
+            F.array_distinct(F.concat(*[_entities(k, F.col(k)) for k in BASE])).alias("entities"),
+        )
     )
-    hit = hit.select(F.col("id").alias("i"), F.col("h").alias("hh"), "terms")
-    joined = spans.select("id", "h", "base").join(hit, F.col("id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("hh")), "left")
-    return joined.select(
-        F.col("id").alias(id_col), F.concat("base", F.coalesce("terms", F.array().cast(f"array<{SPAN}>"))).alias("spans")
+    terms = cut(telling(own, spans, alpha).select("term").distinct())
+    told = own.select("h", F.explode(_terms(text)).alias("term")).join(_few(terms), "term", "left_semi")
+    marked = cut(told.groupBy("h").agg(F.collect_set("term").alias("ts")).withColumnRenamed("h", "g"))
+    at = own.join(_few(marked), F.col("h") == F.col("g")).select(
+        F.col("h").alias("hh"),
+        F.transform(
+            F.filter(found(text, WORD), lambda w: F.array_contains("ts", F.lower(w["m"]))),
+            lambda w: F.struct(w["start"].alias("start"), F.lit(len(BASE)).alias("order"), w["end"].alias("end"), F.lit(TERM).alias("kind")),
+        ).alias("terms"),
     )
+    joined = spans.select("id", "h", "base").join(at.dropDuplicates(["hh"]), F.col("h") == F.col("hh"), "left")
+    free = F.filter("terms", lambda w: ~F.exists("base", lambda b: (b["start"] < w["end"]) & (b["end"] > w["start"])))
+    return joined.select(F.col("id").alias(id_col), F.concat("base", F.coalesce(free, F.array().cast(f"array<{SPAN}>"))).alias("spans"))
 
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -97,6 +97,18 @@ def test_disclosing_terms(spark):
     assert "zorblax" not in clean[0] and "[TERM] [EMAIL] the" in clean[0] and clean[10] == rows[5][1]
 
 
+def test_terms_of_what_entities_share_in_whole_texts(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    far = lambda: " ".join(word() for _ in range(40))
+    rows = [(k, f"zorblax {far()} user{k}@corp.example the {word()}") for k in range(6)]
+    rows += [(10 + k, f"the {word()} {far()} the") for k in range(60)] + [(90, f"{far()} Zorblax"), (91, rows[0][1])]
+    got = by_id(pii.digest(spark.createDataFrame(rows, "doc_id long, text string")))
+    for k in range(6):  # each address stands in one text, and the term is 300 code points away
+        assert got[k]["n_term"] == 1 and "term:0:7" in got[k]["spans"]
+    assert got[90]["n_term"] == 1 and got[91]["spans"] == got[0]["spans"] and all(got[10 + k]["spans"] == "" for k in range(60))
+
+
 def test_quality_measures(spark, docs, nothing):
     labels = spark.createDataFrame([], "doc_id long, quality int")
     df = quality.digest(docs, labels)
