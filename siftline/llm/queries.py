@@ -1,4 +1,4 @@
-"""Queries opN_<name> and pipeline over the driver's tables, with production parameters, over whole tables."""
+"""Queries opN_<name> over the driver's tables, with production parameters, over whole tables."""
 
 from __future__ import annotations
 
@@ -6,8 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-import corpus_pipeline
-
 from . import decontaminate, licenses, linededup, packing, pii, quality, secrets, sharding, simhash, urlfilter
 from .base import table
 
@@ -58,9 +56,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_line_dedup, op2_secret_scan, op3_decontamination, op4_sharding, op5_license_scan,
         op6_quality_rules, op7_simhash, op8_pii, op9_packing, op10_url_filter,
     )
-} | {"pipeline": corpus_pipeline.run}
+}
 ORACLES: dict[str, str] = {
     "op1_line_dedup": linededup.ORACLE,
     "op3_decontamination": decontaminate.ORACLE,
     "op10_url_filter": urlfilter.ORACLE,
-} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+}
