@@ -101,18 +101,22 @@ def evaluate(rpn: list[str]) -> tuple[float, set[str]]:
         if token == "with":
             stack.append((a * EXCEPTION, left))
         else:
-            stack.append(((min if token == "or" else max)(a, b), left | right))
+            if len(left) < len(right):
+                left, right = right, left
+            left |= right  # the smaller into the larger
+            stack.append(((min if token == "or" else max)(a, b), left))
     return stack[0]
 
 
 def expressions(raw: bytes) -> Iterator[str]:
-    """What follows each tag, up to the end of its line or of a comment."""
-    low, at = raw.lower(), 0
-    while (at := low.find(TAG_TEXT, at)) >= 0:
-        at += len(TAG_TEXT)
-        end = raw.find(b"\n", at)
-        line = raw[at : end if end >= 0 else len(raw)].decode("utf-8", "replace")
-        yield re.split(r"\*/|-->|[\"',;]", line)[0].strip()
+    """What follows each tag, up to the next tag, the end of its line or of a comment."""
+    low = raw.lower()
+    at = low.find(TAG_TEXT)
+    while at >= 0:
+        at, after = at + len(TAG_TEXT), low.find(TAG_TEXT, at + len(TAG_TEXT))
+        end = min(x if x >= 0 else len(raw) for x in (after, raw.find(b"\n", at, after if after >= 0 else len(raw))))
+        yield re.split(r"\*/|-->|[\"',;]", raw[at:end].decode("utf-8", "replace"), maxsplit=1)[0].strip()
+        at = after
 
 
 def scan_text(text: str | None) -> tuple[int, int, int | None, int | None, str, str, float]:
@@ -136,7 +140,8 @@ def scan_text(text: str | None) -> tuple[int, int, int | None, int | None, str,
         for e in expressions(raw):
             rpn = parse(e)
             got, names = evaluate(rpn) if rpn else (UNKNOWN, {"unparsed"})
-            score, labels = max(score, got), labels | names
+            score = max(score, got)
+            labels |= names
     at = lambda x: None if x is None else joined.count(b" ", 0, x)
     return len(words), n_base, at(low), at(high), ",".join(sorted(base)), ",".join(sorted(labels)), float(score)
 
