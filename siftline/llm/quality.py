@@ -176,7 +176,8 @@ def learn(x: np.ndarray, bad: np.ndarray) -> list[Rule]:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_rows: int = FIT_ROWS) -> list[Rule]:
     """Learn from at most fit_rows labelled documents (quality 1 keep, 0 reject; null labels are left out).
 
-    Those that the base rules reject are no examples: the list never judges such texts.
+    Those that the base rules reject are no examples: the list never judges such texts. Of rows that share
+    an id, the least text is the example.
     """
     some = (
         labels.where(F.col("quality").isNotNull() & F.col(id_col).isNotNull())
@@ -186,12 +187,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         .limit(fit_rows)
     )
     texts = docs.select(id_col, F.col(text_col)).join(F.broadcast(some), id_col)
-    rows = measure(texts, id_col, text_col, keep=("_quality",))
-    got = rows.where(~F.col("base_failed")).select("id", F.col("kept_columns._quality").alias("q"), *[c.alias(n) for n, c in features().items()]).collect()
-    got.sort(key=lambda r: tuple(r))
+    one = texts.groupBy(id_col).agg(F.min(text_col).alias(text_col), F.first("_quality").alias("_quality"))
+    rows = measure(one, id_col, text_col, keep=("_quality",))
+    # No filter here: it would be moved below the join and measure every document.
+    seen = rows.select("id", "base_failed", F.col("kept_columns._quality").alias("q"), *[c.alias(f"_{n}") for n, c in features().items()]).collect()
+    got = sorted(tuple(r) for r in seen if not r["base_failed"])
     order = np.random.default_rng(0).permutation(len(got))
-    x = np.array([[r[n] for n in FEATURES] for r in got], float).reshape(len(got), len(FEATURES))[order]
-    return learn(x, np.array([r["q"] == 0 for r in got], bool)[order])
+    x = np.array([r[3:] for r in got], float).reshape(len(got), len(FEATURES))[order]
+    return learn(x, np.array([r[2] == 0 for r in got], bool)[order])
 
 
 def verdict(rules: list[Rule]) -> Column:
