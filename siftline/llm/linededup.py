@@ -1,9 +1,10 @@
 """Line deduplication by overlapping three-line windows.
 
-The windows of three consecutive lines are hashed (128 bits). A window that stands elsewhere
-earlier, in the order of (id, position), is a later occurrence; the lines under later
-occurrences go, overlapping ones merged. Shuffled are hashes and positions; texts go to the
-shuffle once, with the merged ranges of their document.
+Lines end at \\n, and a long one behind a punctuation mark and a space, too, as soon as it has LONG code
+points, so that a passage within a long line has windows of its own. The windows of three consecutive
+lines are hashed (128 bits). A window that stands elsewhere earlier, in the order of (id, text, position),
+is a later occurrence; the lines under later occurrences go, overlapping ones merged. Shuffled are
+hashes and positions; texts go to the shuffle once, with the merged ranges of their document.
 """
 
 from __future__ import annotations
@@ -13,8 +14,15 @@ from pyspark.sql import functions as F
 
 from .base import let
 
-WIDTH = 3
-LAST = (1 << 63) - 1
+WIDTH, LONG = 3, 40
+#: A line with what ends it.
+LINE = rf"[^\n]{{{LONG},}}?[.!?,;:] |[^\n]*\n|[^\n]+"
+#: What ends a line is no part of it where lines are compared.
+ENDS = " \n"
+
+
+def _lines(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(LINE), F.lit(0))
 
 
 def _windows(text: Column) -> Column:
@@ -32,7 +40,8 @@ def _windows(text: Column) -> Column:
         return F.filter(all_of, lambda w: w.isNotNull())
 
     none = F.array().cast("array<struct<pos:int,a:bigint,b:bigint>>")
-    return let(F.split(text, "\n", -1), lambda lines: F.when(F.size(lines) < WIDTH, none).otherwise(hashed(lines)))
+    bare = F.transform(_lines(text), lambda x: F.rtrim(x, F.lit(ENDS)))
+    return let(bare, lambda lines: F.when(F.size(lines) < WIDTH, none).otherwise(hashed(lines)))
 
 
 def _without(lines: Column, starts: Column) -> Column:
@@ -49,12 +58,15 @@ def _without(lines: Column, starts: Column) -> Column:
     )
 
 
+def _of(text_col: str) -> Column:
+    """What tells rows of one id, or without an id, apart."""
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+
+
 def later(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(key, starts): sorted window positions of later occurrences, for documents that have some. Null ids come last."""
-    each = docs.select(
-        F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("key"), F.inline(_windows(F.coalesce(F.col(text_col), F.lit(""))))
-    )
-    place = F.struct("key", "pos")
+    """(key, h, starts): sorted window positions of later occurrences, for documents (id and hash of the text) that have some. Null ids come last."""
+    each = docs.select(F.col(id_col).alias("key"), _of(text_col).alias("h"), F.inline(_windows(F.coalesce(F.col(text_col), F.lit("")))))
+    place = F.struct(F.col("key").isNull().alias("last"), "key", "h", "pos")
     # First places of windows that have more than one; the same place twice (a repeated row) is one.
     firsts = (
         each.groupBy("a", "b")
@@ -62,49 +74,48 @@ def later(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         .where(F.col("first") < F.col("last"))
         .select("a", "b", "first")
     )
-    again = each.join(firsts, ["a", "b"]).where(F.struct("key", "pos") > F.col("first"))
-    return again.groupBy("key").agg(F.sort_array(F.collect_set("pos")).alias("starts"))
+    again = each.join(firsts, ["a", "b"]).where(place > F.col("first"))
+    return again.groupBy("key", "h").agg(F.sort_array(F.collect_set("pos")).alias("starts"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """(id, text, n_lines, n_removed, *keep) for each input row.
 
-    Lines are split at \\n and compared exactly. Texts of fewer than three lines, null texts and
-    windows of white space alone lose nothing; null text stays null. Rows with equal ids count as
-    one document, so a repeated row isn't a later occurrence of itself. A document all of whose
-    lines stand earlier elsewhere gets an empty text. An empty table gives an empty result.
+    Lines are compared exactly, but for spaces and line ends behind them. Texts of fewer than three
+    lines, null texts and windows of white space alone lose nothing; null text stays null. Rows of
+    equal ids and texts are one document, so a repeated row isn't a later occurrence of itself; other
+    rows that share an id, or have none, are documents in the order of their texts' hashes. Ids are of
+    any type that has an order. A document all of whose lines stand earlier elsewhere gets an empty
+    text. An empty table gives an empty result; columns other than ``keep`` are ignored.
     """
     gone = later(docs, id_col, text_col)
     own = docs.select(
         F.col(id_col).alias("own_id"),
-        F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("own_key"),
+        _of(text_col).alias("own_h"),
         F.col(text_col).alias("own_text"),
         F.struct(F.lit(0).alias("_"), *[F.col(c) for c in keep]).alias("others"),
     )
-    rows = own.join(gone, F.col("own_key") == F.col("key"), "left")
-    lines = F.split("own_text", "\n", -1)
+    rows = own.join(gone, (F.col("own_h") == F.col("h")) & F.col("own_id").eqNullSafe(F.col("key")), "left")
     done = rows.select(
         "own_id",
         "others",
-        F.when(
-            F.col("starts").isNull() | F.col("own_text").isNull(),
-            F.struct(F.col("own_text").alias("text"), F.coalesce(F.size(lines), F.lit(0)).alias("n"), F.lit(0).alias("gone")),
-        )
-        .otherwise(
-            let(
-                lines,
-                lambda ls: let(
-                    _without(ls, F.filter("starts", lambda p: p <= F.size(ls) - WIDTH)),
-                    lambda kept: F.struct(F.array_join(kept, "\n").alias("text"), F.size(ls).alias("n"), (F.size(ls) - F.size(kept)).alias("gone")),
-                ),
-            )
-        )
-        .alias("r"),
+        let(
+            _lines(F.coalesce("own_text", F.lit(""))),
+            lambda ls: F.when(
+                F.col("starts").isNull(),
+                F.struct(F.col("own_text").alias("text"), F.size(ls).alias("n"), F.lit(0).alias("gone")),
+            ).otherwise(
+                let(
+                    _without(ls, F.col("starts")),
+                    lambda kept: F.struct(F.array_join(kept, "").alias("text"), F.size(ls).alias("n"), (F.size(ls) - F.size(kept)).alias("gone")),
+                )
+            ),
+        ).alias("r"),
     )
     return done.select(
         F.col("own_id").alias(id_col),
         F.col("r.text").alias(text_col),
-        F.greatest(F.col("r.n"), F.lit(0)).cast("long").alias("n_lines"),
+        F.col("r.n").cast("long").alias("n_lines"),
         F.col("r.gone").cast("long").alias("n_removed"),
         *[F.col(f"others.{c}").alias(c) for c in keep],
     )
@@ -114,16 +125,14 @@ def digest(docs: DataFrame) -> DataFrame:
     return dedup_lines(docs)
 
 
-ORACLE = """
+ORACLE = f"""
 WITH lines AS (
-  SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL
-), places AS (
-  SELECT doc_id, ls, unnest(range(len(ls))) AS i FROM lines
+  SELECT doc_id, regexp_extract_all(text, '{LINE}') AS ls FROM documents WHERE text IS NOT NULL
 ), one AS (
-  SELECT doc_id, i, ls[i + 1] AS line, len(ls) AS n FROM places
+  SELECT doc_id, unnest(range(len(ls))) AS i, unnest(ls) AS raw, len(ls) AS n FROM lines
 ), win AS (
-  SELECT doc_id, i, line, n,
-    lead(line, 1) OVER w AS l2, lead(line, 2) OVER w AS l3
+  SELECT doc_id, i, rtrim(raw, ' ' || chr(10)) AS line, n,
+    lead(rtrim(raw, ' ' || chr(10)), 1) OVER w AS l2, lead(rtrim(raw, ' ' || chr(10)), 2) OVER w AS l3
   FROM one WINDOW w AS (PARTITION BY doc_id ORDER BY i)
 ), ranked AS (
   SELECT doc_id, i, row_number() OVER (PARTITION BY line, l2, l3 ORDER BY doc_id, i) AS nth
@@ -131,7 +140,7 @@ WITH lines AS (
 ), gone AS (
   SELECT DISTINCT doc_id, i + k AS i FROM ranked, (SELECT unnest([0, 1, 2]) AS k) WHERE nth > 1
 ), kept AS (
-  SELECT one.doc_id, count(*) AS n_kept, string_agg(line, chr(10) ORDER BY one.i) AS text
+  SELECT one.doc_id, count(*) AS n_kept, string_agg(raw, '' ORDER BY one.i) AS text
   FROM one ANTI JOIN gone ON one.doc_id = gone.doc_id AND one.i = gone.i GROUP BY one.doc_id
 )
 SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.text, '') END AS text,
