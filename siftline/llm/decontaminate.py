@@ -1,11 +1,11 @@
 """Benchmark decontamination: short items inside long documents, by size-partitioned MinHash sketches.
 
-Items are partitioned by size. An item is reported where a document holds at least THRESHOLD of
-its word shingles, so of any floor((1 - THRESHOLD) n) + 1 of its n shingles the document holds one.
-An item's MinHash sketch is the smallest hashes of its shingles, as many as its partition's largest
-size asks for: a document that holds none of them cannot hold the item, however long the document
-is, and nothing is lost. Documents whose shingles hit a sketch are verified by exact containment
-over the shingles themselves.
+An item is reported where a document holds at least THRESHOLD of its n word shingles, so at most
+floor((1 - THRESHOLD) n) are missing. Items are partitioned by size, each partition up to twice its least
+size. An item's MinHash sketch is the smallest hashes of its shingles, as many as may be missing at the
+partition's largest size and a share more; a document is a candidate if it hits more of the sketch than
+may be missing, and if it has as many shingles as the item needs at all. However long the document is,
+nothing is lost. Candidates are verified by exact containment over the shingles themselves.
 """
 
 from __future__ import annotations
@@ -20,6 +20,10 @@ WIDTH, THRESHOLD = 5, 0.8
 BROADCAST_ROWS = 500_000
 #: Documents to verify whose keys are broadcast at most (16 bytes each), so that only their texts are shuffled; beyond, all texts are.
 BROADCAST_DOCS = 500_000
+#: A sketch is longer by this share of its partition's largest size, so that a document must hit more of it.
+SPARE = 1 / 16
+#: Bits of the table that shingles pass before a shuffle: at most 32 MB to broadcast, however many items there are.
+BITS = 1 << 28
 WORD = r"[\p{L}\p{N}]++"
 
 
@@ -50,11 +54,37 @@ def _shingles(text: Column) -> Column:
 
 
 def sketches(items: DataFrame, threshold: float) -> DataFrame:
-    """(item, shingle) of each item's sketch. items: item, text."""
-    hashes = items.select("item", F.array_sort(F.array_distinct(_hashes(F.col("text")))).alias("h")).where(F.size("h") > 0)
+    """(item, need, least, shingle) of each item's sketch: hits needed, least size of a document. items: item, text."""
+    sets = items.select("item", F.array_sort(F.array_distinct(_hashes(F.col("text")))).alias("h")).where(F.size("h") > 0)
+    missing = lambda n: F.floor((1 - threshold) * n + 1e-9).cast("int")
     largest = F.pow(F.lit(2), F.floor(F.log2(F.size("h"))) + 1) - 1  # of the item's partition
-    asked = F.floor((1 - threshold) * largest + 1e-9).cast("int") + 1
-    return hashes.select("item", F.explode(F.slice("h", F.lit(1), F.least(asked, F.size("h")))).alias("shingle"))
+    length = F.least(missing(largest) + 1 + F.floor(largest * SPARE).cast("int"), F.size("h"))
+    return sets.select(
+        "item",
+        (length - missing(F.size("h"))).alias("need"),
+        (F.size("h") - missing(F.size("h"))).alias("least"),
+        F.explode(F.slice("h", F.lit(1), length)).alias("shingle"),
+    )
+
+
+def _bitmap(shingles: DataFrame) -> DataFrame:
+    """(bucket, bits): a table of BITS bits, in which those of the shingles are set. It has at most BITS / 2 ** 15 rows of 4 KB."""
+    bit = F.pmod(F.xxhash64("shingle"), F.lit(BITS))
+    return shingles.select(bit.alias("bit")).groupBy(F.shiftright("bit", 15).alias("bucket")).agg(F.bitmap_construct_agg(F.col("bit") % (1 << 15)).alias("bits"))
+
+
+def _maybe_in(each: DataFrame, bitmap: DataFrame) -> DataFrame:
+    """The rows of each whose shingle's bit is set, so that others never reach a shuffle."""
+    bit = F.pmod(F.xxhash64("shingle"), F.lit(BITS))
+    place = F.col("_bit") % (1 << 15)
+    byte = F.conv(F.hex(F.substring(F.col("bits"), F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    held = each.withColumn("_bit", bit).join(F.broadcast(bitmap), F.shiftright("_bit", 15) == F.col("bucket"))
+    return held.where(F.getbit(byte, F.col("_bit") % 8) == 1).select(*each.columns)
+
+
+def _meet(each: DataFrame, other: DataFrame, on: Column | str, few: bool) -> DataFrame:
+    """each joined to the shingles of other: broadcast if they are few, else by a shuffle of the rows that a bitmap lets through."""
+    return each.join(F.broadcast(other), on) if few else _maybe_in(each, cut(_bitmap(other))).join(other, on)
 
 
 def contained(
@@ -70,45 +100,28 @@ def contained(
 
     Words are runs of letters and digits, lower-cased; shingles are distinct. Null texts have none
     and match nothing; an item of fewer than five words is one shingle of them all and is found in a
-    text of the same words only. Repeated rows are reported once; null ids are ordinary ids; items
-    that repeat an id count as one item each; empty tables give an empty result; further columns are
-    ignored.
+    text of the same words only. Repeated rows are reported once; null ids are ordinary ids, and texts
+    that share an id are judged each on its own; items that repeat an id count as one item each; empty
+    tables give an empty result; further columns are ignored.
     """
     items = benchmark.select(F.col(item_col).alias("own_item"), F.col(item_text_col).alias("text")).distinct()
     items = items.withColumn("item", F.xxhash64("own_item", "text"))
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("h"))
     sketch = cut(sketches(items, threshold))
-    texts = cut(items.select("item", "own_item", _shingles(F.col("text")).alias("parts")))
-    rows = max(sketch.count(), texts.agg(F.coalesce(F.sum(F.size("parts")), F.lit(0))).first()[0])
-    maybe = F.broadcast if rows <= BROADCAST_ROWS else (lambda df: df)
-    hits = cut(own.select("id", "h", F.explode(_hashes(F.col("text"))).alias("shingle")).join(maybe(sketch), "shingle").select("id", "h", "item").distinct())
+    parts = cut(items.select("item", "own_item", _shingles(F.col("text")).alias("parts")).select("item", "own_item", F.size("parts").alias("n_item"), F.explode("parts").alias("shingle")))
+    few = sketch.count() <= BROADCAST_ROWS and parts.count() <= BROADCAST_ROWS
+    each = own.select("id", "h", F.array_distinct(_hashes(F.col("text"))).alias("s")).select("id", "h", F.size("s").alias("n"), F.explode("s").alias("shingle"))
+    met = _meet(each, sketch, "shingle", few).where(F.col("n") >= F.col("least"))
+    hits = met.groupBy("id", "h", "item", "need").agg(F.count(F.lit(1)).alias("hit")).where(F.col("hit") >= F.col("need"))
     keys = cut(hits.select(F.col("id").alias("i"), F.col("h").alias("hh")).distinct())
     same = F.col("id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("hh"))
-    if keys.count() <= BROADCAST_DOCS:
-        own = own.join(F.broadcast(keys), same, "left_semi")
-    asked = hits.join(maybe(texts), "item").groupBy("id", "h").agg(F.collect_list(F.struct("own_item", "parts")).alias("asked"))
-    asked = asked.select(F.col("id").alias("i"), F.col("h").alias("hh"), "asked")
-    both = own.join(asked, same).dropDuplicates(["id", "h"])
-    shared = both.select(
-        "id",
-        F.inline(
-            let(
-                _shingles(F.col("text")),
-                lambda s: F.transform(
-                    F.col("asked"),
-                    lambda a: F.struct(
-                        a["own_item"].alias("own_item"),
-                        F.size(a["parts"]).cast("long").alias("n_item"),
-                        F.size(F.array_intersect(a["parts"], s)).cast("long").alias("n_shared"),
-                    ),
-                ),
-            )
-        ),
-    )
+    found = own.join(F.broadcast(keys) if keys.count() <= BROADCAST_DOCS else keys, same, "left_semi").dropDuplicates(["id", "h"])
+    held = _meet(found.select("id", "h", F.explode(_shingles(F.col("text"))).alias("shingle")), parts, "shingle", few)
+    shared = held.groupBy("id", "h", "item", "own_item", "n_item").agg(F.count(F.lit(1)).alias("n_shared"))
     return shared.where(F.col("n_shared") >= F.ceil(F.lit(threshold) * F.col("n_item") - 1e-9)).select(
         F.col("id").alias(id_col),
         F.col("own_item").alias(item_col),
-        "n_item",
+        F.col("n_item").cast("long").alias("n_item"),
         "n_shared",
         (F.col("n_shared") / F.col("n_item")).alias("containment"),
     )
