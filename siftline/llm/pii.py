@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import cut, found, let, of_kind, span_text
+from .base import cut, found, let, of_kind, running, span_text
 
 # Kinds in the contract's order and their patterns. Runs that cannot give anything
 # back are possessive; a run is tried only where it begins or where the last match ended.
@@ -29,6 +29,10 @@ TERM = "term"
 ALPHA = 0.8
 #: Terms (a string of letters each) and texts (a hash and what is asked of it) that are broadcast at most; more of them are joined by a shuffle.
 BROADCAST_TERMS = 100_000
+#: Term spans (24 bytes each) that are broadcast at most, so that copies of one text needn't meet in a task.
+BROADCAST_SPANS = 500_000
+#: Code points of a block that sanitise() takes a text apart into.
+BLOCK = 512
 #: A term: a run of letters.
 WORD = r"\p{L}{3,}+"
 
@@ -61,10 +65,10 @@ def _parts(m: Column) -> Column:
 def kinds_of(text: Column) -> dict[str, Column]:
     """Matches of each base kind that hold, as array<struct<start,end,m>>."""
     return {
-        "email": found(text, EMAIL),
-        "ip": F.filter(found(text, IP), lambda s: _parts(s["m"])),
+        "email": found(text, EMAIL, "@"),
+        "ip": F.filter(found(text, IP, "."), lambda s: _parts(s["m"])),
         "card": F.filter(found(text, CARD), lambda s: _luhn(s["m"])),
-        "phone": F.filter(found(text, PHONE), lambda s: F.length(_digits(s["m"])).between(9, 15)),
+        "phone": F.filter(found(text, PHONE, "+"), lambda s: F.length(_digits(s["m"])).between(9, 15)),
     }
 
 
@@ -84,36 +88,65 @@ def _entities(kind: str, spans: Column) -> Column:
     return F.flatten(F.transform(spans, of))
 
 
+def _outside(text: Column) -> Column:
+    """The text with its emails blanked, code point by code point, so that places stay."""
+
+    def blanked(ms: Column) -> Column:
+        size = lambda i: F.coalesce(F.length(F.get(ms, i)), F.lit(0))
+        return F.array_join(F.transform(F.split(text, EMAIL, -1), lambda gap, i: F.concat(gap, F.repeat(F.lit(" "), size(i)))), "")
+
+    return F.when(F.contains(text, F.lit("@")), let(F.regexp_extract_all(text, F.lit(EMAIL), F.lit(0)), blanked)).otherwise(text)
+
+
 def _terms(text: Column) -> Column:
     """The distinct terms of a text, outside of emails."""
-    return F.array_distinct(F.regexp_extract_all(F.lower(F.regexp_replace(text, EMAIL, " ")), F.lit(WORD), F.lit(0)))
+    return F.array_distinct(F.regexp_extract_all(F.lower(_outside(text)), F.lit(WORD), F.lit(0)))
 
 
 def _few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_TERMS else df
 
 
+def _common(n_term: DataFrame) -> DataFrame:
+    """The terms of the largest counts, as many as may be broadcast: all from the least power of two on that leaves no more."""
+    power = F.floor(F.log2("n_term")).cast("int")
+    rows = {r["p"]: r["n"] for r in n_term.groupBy(power.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    least, so_far = 63, 0
+    while least > 0 and so_far + rows.get(least - 1, 0) <= BROADCAST_TERMS:
+        least -= 1
+        so_far += rows.get(least, 0)
+    return n_term.where(F.col("n_term") >= F.lit(1 << least)).toDF("c", "n_common")
+
+
 def telling(own: DataFrame, spans: DataFrame, alpha: float = ALPHA) -> DataFrame:
-    """(term, entity) of terms that give an entity away. own: text, h; spans: h, entities of each row."""
+    """(term, entity) of terms that give an entity away. own: text, h; spans: h, entities and terms of each row.
+
+    Entities that the same texts hold are one, that of the least name. Terms of all texts are counted by partial
+    sums before any shuffle. Only the terms of texts with an entity meet entities, and a term that stands in more
+    texts than any term telling of the entity can is left out before: with all of an entity's texts, pmi reaches
+    the threshold at n_term <= (n_entity - 1 + p) * p ** (alpha - 1) and no further.
+    """
     n = float(max(spans.select("h").distinct().count(), 1))
     copies = cut(spans.groupBy("h").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1").withColumnRenamed("h", "c"))
     # Each row of a repeated text counts as a share of one, so that no pairs of text and term are shuffled.
     weighted = own.join(_few(copies), F.col("h") == F.col("c"), "left").withColumn("w", 1 / F.coalesce("copies", F.lit(1)))
-    total = F.round(F.sum("w")).cast("long")
-    holds = spans.where(F.size("entities") > 0).select("h", F.explode("entities").alias("entity")).distinct()
+    counted = weighted.select("w", F.explode(_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.round(F.sum("w")).cast("long").alias("n_term"))
+    n_term = cut(counted.where("n_term > 1"))
+    with_some = spans.where(F.size("entities") > 0)
+    holds = cut(with_some.select("h", F.explode("entities").alias("entity")).distinct())
     # Where one text alone shows an entity, or a pair, no other text tells of it: its pmi is at most 0.
-    entities = cut(holds.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")).where("n_entity > 1"))
-    groups = holds.join(_few(entities.select("entity")), "entity", "left_semi").groupBy("h").agg(F.collect_list("entity").alias("es"))
-    groups = cut(groups.withColumnRenamed("h", "g"))
-    near = weighted.join(_few(groups), F.col("h") == F.col("g")).select("w", "es", F.explode(_terms(F.col("text"))).alias("term"))
-    pairs = near.select("w", "term", F.explode("es").alias("entity")).groupBy("entity", "term").agg(total.alias("both"))
-    pairs = cut(pairs.where("both > 1"))
-    asked = cut(pairs.select("term").distinct())
-    words = weighted.select("w", F.explode(_terms(F.col("text"))).alias("term"))
-    n_term = words.join(_few(asked), "term", "left_semi").groupBy("term").agg(total.alias("n_term"))
+    holders = (F.bit_xor(F.xxhash64("h")).alias("x"), F.bit_xor(F.xxhash64("h", F.lit(1))).alias("y"))
+    supported = holds.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"), *holders).where("n_entity > 1")
     p = F.col("n_entity") / n
+    most = (F.col("n_entity") - 1 + p) * F.pow(p, F.lit(alpha - 1)) * (1 + 1e-9)
+    entities = cut(supported.groupBy("n_entity", "x", "y").agg(F.min("entity").alias("entity")).select("entity", F.struct("entity", "n_entity", most.alias("most")).alias("e")))
+    asked = holds.join(entities, "entity").groupBy("h").agg(F.collect_list("e").alias("es"))
+    near = with_some.select("h", "terms").dropDuplicates(["h"]).join(asked, "h").select("es", F.explode("terms").alias("term"))
+    known = near.join(F.broadcast(_common(n_term)), F.col("term") == F.col("c"), "left")
+    rare = F.filter("es", lambda e: F.col("n_common").isNull() | (F.col("n_common") <= e["most"]))
+    pairs = known.select("term", F.explode(rare).alias("e")).groupBy("e.entity", "e.n_entity", "term").agg(F.count(F.lit(1)).alias("both"))
     return (
-        pairs.join(entities, "entity")
+        pairs.where("both > 1")
         .join(n_term, "term")
         .withColumn("ic", -F.log2(p))
         .withColumn("pmi", F.log2((F.col("both") - 1 + p) / F.col("n_term") / p))
@@ -126,18 +159,22 @@ def protect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alp
     """One row (id, spans) for each input row: base spans by kind, then start, then term spans.
 
     Null text has no spans; repeated rows get equal results and count once in the statistics; null
-    ids are kept; an empty table gives an empty result; further columns are ignored. A term that
-    lies in a base span is no term span.
+    ids are kept; an empty table gives an empty result; further columns are ignored. Terms stand
+    outside of emails, and the other kinds have no letters, so no term span lies in a base span.
     """
-    own = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    own = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("h", F.md5(F.col("text").cast("binary")))
     text = F.col("text")
-    with_kinds = own.select("id", "h", *[v.alias(k) for k, v in kinds_of(text).items()])
+    with_kinds = own.select("id", "h", "text", *[v.alias(k) for k, v in kinds_of(text).items()])
+    some = F.lit(False)
+    for k in BASE:
+        some = some | (F.size(k) > 0)
     spans = cut(
         with_kinds.select(
             "id",
             "h",
             F.concat(*[of_kind(F.col(k), i, k) for i, k in enumerate(BASE)]).alias("base"),
             F.array_distinct(F.concat(*[_entities(k, F.col(k)) for k in BASE])).alias("entities"),
+            F.when(some, _terms(text)).alias("terms"),
         )
     )
     terms = cut(telling(own, spans, alpha).select("term").distinct())
@@ -146,30 +183,53 @@ def protect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alp
     at = own.join(_few(marked), F.col("h") == F.col("g")).select(
         F.col("h").alias("hh"),
         F.transform(
-            F.filter(found(text, WORD), lambda w: F.array_contains("ts", F.lower(w["m"]))),
+            F.filter(found(_outside(text), WORD), lambda w: F.array_contains("ts", F.lower(w["m"]))),
             lambda w: F.struct(w["start"].alias("start"), F.lit(len(BASE)).alias("order"), w["end"].alias("end"), F.lit(TERM).alias("kind")),
         ).alias("terms"),
     )
-    joined = spans.select("id", "h", "base").join(at.dropDuplicates(["hh"]), F.col("h") == F.col("hh"), "left")
-    free = F.filter("terms", lambda w: ~F.exists("base", lambda b: (b["start"] < w["end"]) & (b["end"] > w["start"])))
-    return joined.select(F.col("id").alias(id_col), F.concat("base", F.coalesce(free, F.array().cast(f"array<{SPAN}>"))).alias("spans"))
+    at = cut(at.dropDuplicates(["hh"]))
+    n_spans = at.agg(F.coalesce(F.sum(F.size("terms")), F.lit(0))).first()[0]
+    joined = spans.select("id", "h", "base").join(F.broadcast(at) if n_spans <= BROADCAST_SPANS else at, F.col("h") == F.col("hh"), "left")
+    return joined.select(F.col("id").alias(id_col), F.concat("base", F.coalesce("terms", F.array().cast(f"array<{SPAN}>"))).alias("spans"))
+
+
+def _pieces(text: Column, spans: Column) -> Column:
+    """The text with each span replaced by its kind in brackets. Spans that overlap are one, named after the first."""
+    upto = lambda s: running(F.transform(s, lambda x: x["end"]), F.greatest)
+
+    def merged(s: Column) -> Column:
+        first = lambda ends: F.filter(F.transform(s, lambda x, i: F.when((i == 0) | (x["start"] >= F.get(ends, i - 1)), F.struct(x["start"].alias("start"), x["kind"].alias("kind"), i.alias("i")))), lambda x: x.isNotNull())
+        return let(upto(s), lambda ends: let(first(ends), lambda fs: F.transform(fs, lambda f, k: F.struct(f["start"].alias("start"), F.get(ends, F.coalesce(F.get(fs, k + 1)["i"] - 1, F.size(s) - 1)).alias("end"), f["kind"].alias("kind")))))
+
+    def rebuilt(blocks: Column) -> Column:
+        def part(start: Column, end: Column) -> Column:
+            """Of the text, from its blocks, so that no step walks the text from its beginning."""
+            b = F.floor(start / BLOCK).cast("int")
+            some = F.transform(F.slice(blocks, b + 1, F.floor(end / BLOCK).cast("int") - b + 1), lambda x: x)
+            return F.substring(F.array_join(some, ""), (start - b * BLOCK + 1).cast("int"), (end - start).cast("int"))
+
+        def joined(m: Column) -> Column:
+            end_of = lambda k: F.coalesce(F.get(m, k)["end"], F.lit(0).cast("long"))
+            each = F.transform(m, lambda x, k: F.concat(part(end_of(k - 1), x["start"]), F.lit("["), F.upper(x["kind"]), F.lit("]")))
+            last = end_of(F.size(m) - 1)
+            return F.concat(F.array_join(each, ""), part(last, F.length(text).cast("long")))
+
+        return let(merged(spans), joined)
+
+    return F.when(F.size(spans) == 0, text).otherwise(let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}+"), F.lit(0)), rebuilt))
 
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, clean_text): each base span generalised to its kind in brackets, each disclosing term removed to [TERM]."""
-    marked = protect(docs, id_col, text_col).groupBy(id_col).agg(F.first("spans").alias("spans"))
-    left, right = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text")).alias("a"), marked.alias("b")
-    both = left.join(right, F.col(f"a.{id_col}").eqNullSafe(F.col(f"b.{id_col}"))).select(f"a.{id_col}", "text", F.array_sort("spans").alias("s"))
-
-    def step(a: Column, s: Column) -> Column:
-        fresh = s["start"] >= a["at"]
-        gap = F.substring(F.col("text"), (a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int"))
-        out = F.when(fresh, F.concat(a["out"], gap, F.lit("["), F.upper(s["kind"]), F.lit("]"))).otherwise(a["out"])
-        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), out.alias("out"))
-
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
-    done = lambda a: F.concat(a["out"], F.substring(F.col("text"), (a["at"] + 1).cast("int"), F.length("text")))
-    return both.select(id_col, F.aggregate("s", start, step, done).alias("clean_text"))
+    """(id, clean_text) for each input row: each base span generalised to its kind in brackets, each disclosing term removed to [TERM].
+
+    Null text becomes an empty one; rows that share an id keep texts of their own.
+    """
+    key = F.md5(F.col("text").cast("binary"))
+    own = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("k", key)
+    each = own.dropDuplicates(["k"])  # spans depend on the text alone
+    marked = protect(each, "k", "text").toDF("g", "spans")
+    both = own.join(marked, F.col("k") == F.col("g"))
+    return both.select(F.col("id").alias(id_col), _pieces(F.col("text"), F.array_sort("spans")).alias("clean_text"))
 
 
 def digest(docs: DataFrame) -> DataFrame:
