@@ -128,7 +128,7 @@ def tail(at: np.ndarray, p: Plan, window: int = WINDOW) -> tuple[np.ndarray, np.
     return sequence, offset
 
 
-PIECES = "id long, doc_tokens long, start long, length int, crc long, part int, nth long, cut_crcs array<long>"
+PIECES = "id {}, doc_tokens long, start long, length int, crc long, part int, nth long, cut_crcs array<long>"
 
 
 def pieces(docs: DataFrame, id_col: str, text_col: str, path: str) -> DataFrame:
@@ -154,7 +154,8 @@ def pieces(docs: DataFrame, id_col: str, text_col: str, path: str) -> DataFrame:
             columns = map(pa.array, list(zip(*rows, strict=True)) or [()] * 7, _KINDS)
             yield pa.record_batch([b.column(0).take(pa.array(own, pa.int64())), *columns], _NAMES)
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, PIECES)
+    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return own.mapInArrow(run, PIECES.format(own.schema["id"].dataType.simpleString()))
 
 
 _NAMES = [c.split()[0] for c in PIECES.split(", ")]
@@ -168,7 +169,7 @@ def _tokenizer(path: str) -> WordTokenizer:
     return _TOKENIZERS[path]
 
 
-OUT = "id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+OUT = "id {}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _OUT = [c.split()[0] for c in OUT.split(", ")]
 
 
@@ -176,7 +177,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     """(id, start, length, ids_crc32, doc_tokens, sequence_id, offset) of each piece.
 
     Null and empty texts are documents of the end id alone; repeated rows are documents of their
-    own; null ids are kept; an empty table gives an empty result; further columns are ignored.
+    own; ids of any type are kept, null ones too; an empty table gives an empty result; further
+    columns are ignored.
     """
     # The rows are narrow: no ids, but checksums of the piece and of what it would be cut into.
     cutout = cut(pieces(docs, id_col, text_col, path or vocabulary()))
@@ -218,7 +220,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
         cutout.join(before.select("length", "part", "before"), ["length", "part"])
         .select("id", "doc_tokens", "start", "length", "crc", "cut_crcs", (F.col("before") + F.col("nth")).alias("rank"))
     )
-    return ranked.mapInArrow(place, OUT).withColumnRenamed("id", id_col)
+    return ranked.mapInArrow(place, OUT.format(cutout.schema["id"].dataType.simpleString())).withColumnRenamed("id", id_col)
 
 
 def digest(docs: DataFrame) -> DataFrame:

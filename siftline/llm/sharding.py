@@ -1,6 +1,6 @@
 """Size-balanced shards by sampled splitters.
 
-Records are ordered by (content hash, id, row): equal texts lie side by side, and every key is
+Records are ordered by (content hash, id as a string, row): equal texts lie side by side, and every key is
 distinct, so a hot text can be cut anywhere. Size-weighted key samples give quantile boundaries
 of many ranges; ranges that turn out overfull are divided again by samples of their own. Exact
 sizes of the ranges and running sums inside each give every record its place in the whole order,
@@ -53,7 +53,7 @@ def _range_of(bounds: list[tuple]) -> Column:
             return F.lit(lo)
         mid = (lo + hi) // 2
         h, i, r = bounds[mid]
-        at = F.struct(F.lit(h).alias("h"), F.lit(i).cast("long").alias("id"), F.lit(r).cast("long").alias("row"))
+        at = F.struct(F.lit(h).alias("h"), F.lit(i).alias("id"), F.lit(r).cast("long").alias("row"))
         return F.when(key < at, node(lo, mid)).otherwise(node(mid + 1, hi))
 
     return node(0, len(bounds))
@@ -87,13 +87,13 @@ def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: st
     size is the text's UTF-8 bytes plus 1 (null text: 1, checksum 0). A record goes to the shard
     that holds the middle of its bytes in the whole order, so shards differ by a record's size at
     most. slot counts from 0 in each shard without gaps. Repeated rows and null ids are ordinary
-    records; an empty table gives an empty result; further columns are ignored.
+    records; ids of any type are kept; an empty table gives an empty result; further columns are ignored.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     narrow = cut(
         docs.select(
             F.md5(text.cast("binary")).alias("h"),
-            F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)).cast("long")).alias("id"),
+            F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("id"),
             F.monotonically_increasing_id().alias("row"),
             (F.octet_length(text) + 1).cast("long").alias("size"),
             F.crc32(text.cast("binary")).alias("text_crc32"),

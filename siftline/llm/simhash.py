@@ -73,8 +73,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 out.append(f)
             yield pa.record_batch([b.column(0), pa.array(np.array(out, np.uint64).view(np.int64))], ["id", "fp"])
 
-    own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return own.mapInArrow(run, "id long, fp long")
+    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return own.mapInArrow(run, f"id {own.schema['id'].dataType.simpleString()}, fp long")
 
 
 @cache
@@ -292,9 +292,9 @@ def near_duplicates(
 
     more: further links (a, b) of fingerprints of docs.
 
-    Null and empty texts have the fingerprint 0 and link like any other; null ids get a component,
-    but are never its id (null where a component has no other); repeated rows get equal results; an
-    empty table gives an empty result; further columns are ignored.
+    Null and empty texts have the fingerprint 0 and link like any other; ids are of any type that has
+    an order; null ids get a component, but are never its id (null where a component has no other);
+    repeated rows get equal results; an empty table gives an empty result; further columns are ignored.
     """
     rows = cut(fingerprints(docs, id_col, text_col, width))
     distinct = cut(rows.groupBy("fp").agg(F.min("id").alias("least")))

@@ -1,3 +1,4 @@
+import hashlib
 import os
 import random
 import sys
@@ -249,6 +250,22 @@ def test_sharding(spark, docs, nothing):
         assert slots == list(range(len(slots)))
 
 
+def test_shards_are_slices_of_the_order(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "ROWS_PER_RANGE", 20)
+    rng = random.Random(10)
+    rows = [(rng.choice([None, k, k % 40]), rng.choice([None, "", "hot", "x" * rng.randrange(1, 400), f"é{k}"])) for k in range(900)]
+    got = sharding.digest(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    places = sorted((hashlib.md5((t or "").encode()).hexdigest(), str(i) if i is not None else "", len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t in rows)
+    total, at, want, used = sum(p[2] for p in places), 0, [], Counter()
+    for _, i, size, crc in places:
+        at += size
+        shard = min(7, int((at - size / 2) * 8 / total))
+        want.append((i, size, crc, shard, used[shard]))
+        used[shard] += 1
+    # Rows that are equal but for null and empty text change places.
+    assert Counter((str(r["doc_id"]) if r["doc_id"] is not None else "", r["size"], r["text_crc32"], r["shard"], r["slot"]) for r in got) == Counter(want)
+
+
 def test_shards_are_even_with_a_hot_text(spark):
     df = spark.range(30000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "hot text").otherwise(F.concat(F.lit("t"), F.repeat(F.col("id").cast("string"), (F.col("id") % 9).cast("int")))).alias("text"))
     got = sharding.digest(df).groupBy("shard").agg(F.sum("size").alias("b"), F.count_distinct("slot").alias("n"), F.max("slot").alias("m")).collect()
@@ -375,6 +392,15 @@ def test_malformed_expressions(bad):
     assert licenses.parse(bad) is None
 
 
+def test_ids_of_any_type(spark):
+    rows = [("b", "some words stand here"), ("a", "some words stand here"), (None, "some words stand here"), ("", None)]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    assert {(r["doc_id"], r["component_id"]) for r in simhash.digest(df).collect()} == {("b", "a"), ("a", "a"), (None, "a"), ("", "")}
+    assert sorted(r["doc_id"] or "" for r in sharding.digest(df).collect()) == ["", "", "a", "b"]
+    assert sorted(r["doc_id"] or "" for r in packing.digest(df).collect() if r["start"] == 0) == ["", "", "a", "b"]
+    assert {r["doc_id"] for r in licenses.digest(df).collect()} == {r["doc_id"] for r in pii.digest(df).collect()} == {r["doc_id"] for r in secrets.digest(df).collect()} == {"a", "b", "", None}
+
+
 def test_packing(spark, docs, nothing):
     df = docs.unionByName(docs.where("doc_id = 5"))
     rows = packing.digest(df).collect()

@@ -50,6 +50,30 @@ def test_stages_against_plain_versions(spark, tmp_path):
     assert packing.WINDOW == 4096 and quality.FIT_ROWS > 0
 
 
+def test_stages_with_null_and_repeated_ids(spark, tmp_path):
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(2000)]
+    text = lambda n=90: "\n".join(" ".join(rng.choice(words) for _ in range(9)) for _ in range(n // 9))
+    a, b, c, d, item = text(), text(), text(), text(), text(36).replace("\n", " ")
+    near = lambda t, k: t.replace(t.split()[40], f"changed{k}", 1)
+    rows = [(None, a), (None, near(a, 1)), (3, near(a, 2)), (5, b), (5, c), (5, c), (5, None), (None, None), (7, ""), (8, d + " " + item), (None, text() + " " + item), (8, text()), (9, text(9) * 400), (None, near(b, 3))]
+    docs = spark.createDataFrame([(i, t, None, "s" if k % 2 else None, None, "clash", k, "clash") for k, (i, t) in enumerate(rows)], SCHEMA + ", key string, h long, component_id string").repartition(3)
+    at = str(tmp_path)
+    spark.createDataFrame([(1, item), (2, None)], "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
+    spark.createDataFrame([(5, None, 0), (None, 1, 0), (8, 1, None)], "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
+    of = lambda df: sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=str)
+    left = lambda *gone: sorted((r for k, r in enumerate(rows) if k not in gone), key=str)
+    assert of(cp.quality_rules(spark, docs, at)) == sorted(((i, t) for i, t in rows if not brute.measures(t)[-1]), key=str)
+    # One of each group stays: the least id, null ids last.
+    assert of(cp.near_dedup(spark, docs, at)) == left(0, 1, 13)
+    assert of(cp.decontamination(spark, docs, at)) == left(9, 10)
+    lines = cp.line_dedup(spark, docs, at)
+    assert lines.count() <= len(rows) and (5, None) in of(lines) and (5, c) in of(lines) and lines.columns == list(cp.COLUMNS)
+    assert sorted({r["doc_id"] for r in cp.packing_stage(spark, docs, at).collect()}, key=str) == sorted({i for i, _ in rows}, key=str)
+    for _, stage in cp.STAGES[:-1]:
+        assert stage(spark, docs, at).columns == list(cp.COLUMNS) and stage(spark, docs.limit(0), at).count() == 0
+
+
 def pairs(docs):
     found, texts = jaccard.similar(docs)
     of = {r["h"]: r["text"] for r in texts.collect()}
