@@ -1,12 +1,16 @@
-"""The index: sparse-gram postings of a corpus as Parquet tables, in versions behind a pointer.
-
-<root>/CURRENT names the live version; v<N>/ holds
-  files     file_id, path, mtime, size                     one row for each file
-  grams     path, mtime, size, content_hash, grams         what an update can use again
-  postings  gram, file_id                                  sorted by both, so that row groups are ranges
-  counts    gram, n                                        files of each gram, sorted
-and MANIFEST.json its counts, without which a version isn't opened. Postings are rows, not arrays:
-a gram that all files have is spread over many row groups and tasks.
+"""The index: sparse-gram postings of a corpus as Parquet tables, in immutable segments behind a pointer.
+
+<root>/CURRENT names the live version; v<N>/MANIFEST.json lists its segments, their sizes and counts, and
+  dead         segment, file_id        files of a segment that changed or went later
+  dead_counts  gram, n                 how many of a gram's postings are dead
+segments/s<N>/ holds
+  grams     file_id, path, mtime, size, content_hash, grams   one row for each row of the corpus
+  files     file_id, path, mtime, size                        one row for each path, sorted by file_id
+  postings  gram, file_id                                     sorted by both, so that row groups are ranges
+  counts    gram, n                                           files of each gram, sorted
+An update writes a segment of what changed; when there are many segments or many dead files, all live rows
+become one segment. Postings are rows, not arrays: a gram that all files have is spread over many row groups
+and tasks. Rows of the corpus that share a path are one file, which has the grams of all of them.
 """
 
 from __future__ import annotations
@@ -15,7 +19,7 @@ import json
 import time
 from collections.abc import Callable
 from dataclasses import asdict, dataclass
-from functools import partial
+from functools import cached_property, partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,14 +30,33 @@ from siftline.sources import storage
 
 from .search import file_id, verify
 
-FORMAT = 1
+FORMAT = 2
 #: With more candidates than this share of the files, postings aren't worth the join; the corpus is scanned.
 SCAN_SHARE = 0.6
 #: Candidates are broadcast, up to so many (8 bytes each); texts are never shuffled to meet them. With more, the corpus is scanned.
 BROADCAST_IDS = 4_000_000
+#: Up to so many postings, as counted before they are read, are intersected by the driver instead, without a shuffle.
+DRIVER_POSTINGS = 50_000
+#: In an index of so many files, candidates that the driver knows are also looked up by the corpus's own key, so that its row groups can be left out.
+KEYED_FILES, KEYED_IDS = 1_000_000, 1_000
 #: The rarest grams of a branch that are looked up. Any of them would do; further ones only narrow.
 GRAMS_PER_BRANCH = 8
-TABLES = ("files", "grams", "postings", "counts")
+#: Changed paths and dead files that are broadcast at most (a path each); more of them are joined by a shuffle.
+BROADCAST_PATHS = 200_000
+#: With more segments, or a larger share of dead files, an update writes all live rows as one segment.
+MOST_SEGMENTS, MOST_DEAD = 8, 0.3
+#: A corpus of fewer and smaller input files than this for each core is spread over all cores to be indexed.
+SPREAD_BYTES = 32 << 20
+
+TABLES = {
+    "grams": "file_id long, path string, mtime long, size long, content_hash string, grams array<bigint>",
+    "files": "file_id long, path string, mtime long, size long",
+    "postings": "gram long, file_id long",
+    "counts": "gram long, n long",
+}
+DEAD, DEAD_COUNTS = "segment string, file_id long", "gram long, n long"
+#: The size that the row of a removed path has; it has no grams and is no file, but tells late changes apart.
+REMOVED = -1
 
 
 class CorruptIndex(RuntimeError):
@@ -51,44 +74,83 @@ class BuildStats:
     seconds: float
 
 
+def _hash(content: Column) -> Column:
+    return F.sha2(content.cast("binary"), 256)
+
+
 def _grams(corpus: DataFrame) -> DataFrame:
-    """(path, mtime, size, content_hash, grams, reused=false)."""
+    """The rows of the grams table and reused = false."""
     keep = ["path", "mtime", "size", "content_hash"]
-    own = corpus.select("path", "mtime", "size", F.sha2(F.col("content").cast("binary"), 256).alias("content_hash"), F.col("content").cast("binary").alias("content"))
+    own = corpus.select("path", "mtime", "size", _hash(F.col("content")).alias("content_hash"), F.col("content").cast("binary").alias("content"))
     made = own.mapInArrow(partial(grams_of_batches, content="content", keep=keep), "path string, mtime long, size long, content_hash string, grams array<bigint>")
-    return made.withColumn("reused", F.lit(False))
+    return made.select(file_id(F.col("path")).alias("file_id"), *keep, "grams", F.lit(False).alias("reused"))
 
 
-def _publish(spark: SparkSession, root: str, grams: DataFrame, started: float, progress: Callable[[str], None] | None) -> BuildStats:
-    tell = progress or (lambda _: None)
-    current = _current(spark, root)
-    version = f"v{int(current[1:]) + 1 if current else 1}"
-    while storage.exists(spark, f"{root}/{version}"):  # left by a build that failed
-        version = f"v{int(version[1:]) + 1}"
-    at = f"{root}/{version}"
+def _spread(spark: SparkSession, corpus: DataFrame) -> DataFrame:
+    files, cores = corpus.inputFiles(), spark.sparkContext.defaultParallelism
+    if 0 < len(files) < cores and sum(storage.size_of(spark, f) for f in files) < cores * SPREAD_BYTES:
+        return corpus.repartition(2 * cores)
+    return corpus
+
+
+def _few(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= BROADCAST_PATHS else df
+
+
+def _read(spark: SparkSession, schema: str, *paths: str) -> DataFrame:
+    """Pages are checked against their checksums, so that damage is an error and never a lost match."""
+    if not paths:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("parquet.page.verify-checksum.enabled", "true").parquet(*paths)
+
+
+def _sorted(df: DataFrame, *by: str) -> DataFrame:
+    return df.repartitionByRange(*by).sortWithinPartitions(*by)
+
+
+def _write_segment(spark: SparkSession, root: str, name: str, rows: DataFrame, tell: Callable[[str], None]) -> dict:
+    """Write a segment from rows of the grams table and reused; what the manifest says of it."""
+    at = f"{root}/segments/{name}"
     tell(f"writing grams to {at}")
-    grams.write.parquet(f"{at}/grams")
+    rows.write.parquet(f"{at}/grams")
     kept = spark.read.parquet(f"{at}/grams")
-    kept.select(file_id(F.col("path")).alias("file_id"), "path", "mtime", "size").write.parquet(f"{at}/files")
+    live = kept.where(F.col("size") != REMOVED)
+    n_rows, read = live.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.when(~F.col("reused"), F.col("size"))), F.lit(0))).first()
+    paths = live.groupBy("file_id", "path").agg(F.max("mtime").alias("mtime"), F.sum("size").alias("size"), F.min("reused").alias("reused"))
+    _sorted(paths, "file_id").write.parquet(f"{at}/files")
+    files, reused = spark.read.parquet(f"{at}/files").agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("reused").cast("long")), F.lit(0))).first()
     tell("writing postings")
-    postings = kept.select(F.explode("grams").alias("gram"), file_id(F.col("path")).alias("file_id"))
-    postings.repartitionByRange("gram", "file_id").sortWithinPartitions("gram", "file_id").write.option("parquet.block.size", 32 << 20).parquet(f"{at}/postings")
-    written = spark.read.parquet(f"{at}/postings")
-    per_gram = written.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-    per_gram.repartitionByRange("gram").sortWithinPartitions("gram").write.parquet(f"{at}/counts")
+    postings = live.select(F.explode("grams").alias("gram"), "file_id")
+    postings = postings if n_rows == files else postings.distinct()
+    _sorted(postings, "gram", "file_id").write.option("parquet.block.size", 32 << 20).parquet(f"{at}/postings")
+    per_gram = _read(spark, TABLES["postings"], f"{at}/postings").groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    _sorted(per_gram, "gram").write.parquet(f"{at}/counts")
     ngrams, n_postings = spark.read.parquet(f"{at}/counts").agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    files, reused, read = kept.agg(
-        F.count(F.lit(1)), F.coalesce(F.sum(F.col("reused").cast("long")), F.lit(0)), F.coalesce(F.sum(F.when(~F.col("reused"), F.col("size"))), F.lit(0))
-    ).first()
-    stats = BuildStats(files, read, ngrams, n_postings, storage.size_of(spark, at), reused, time.perf_counter() - started)
-    storage.replace_text(spark, f"{at}/MANIFEST.json", json.dumps({"format": FORMAT} | asdict(stats)))
+    tables = {t: storage.measure(spark, f"{at}/{t}") for t in TABLES}
+    return {"name": name, "files": files, "reused": reused, "read": read, "ngrams": ngrams, "postings": n_postings, "tables": tables}
+
+
+def _names(spark: SparkSession, root: str) -> tuple[str, str]:
+    """Names of a version and a segment that nothing has yet, be it left by a build that failed."""
+    after = lambda folder, letter: letter + str(1 + max([int(x[1:]) for x in storage.children(spark, folder) if x[:1] == letter and x[1:].isdigit()], default=0))
+    return after(root, "v"), after(f"{root}/segments", "s")
+
+
+def _publish(spark: SparkSession, root: str, version: str, manifest: dict, tell: Callable[[str], None]) -> None:
+    """Point to a version that is written; the one before stays for readers that have it open."""
+    before = _current(spark, root)
+    storage.replace_text(spark, f"{root}/{version}/MANIFEST.json", json.dumps({"format": FORMAT} | manifest))
     storage.replace_text(spark, f"{root}/CURRENT", version)
-    for old in storage.children(spark, root):
-        # The version before stays for readers that have it open.
-        if old.startswith("v") and old[1:].isdigit() and old not in (version, current):
-            storage.delete(spark, f"{root}/{old}")
     tell(f"published {version}")
-    return stats
+    used = {s["name"] for s in manifest["segments"]}
+    try:
+        used |= {s["name"] for s in json.loads(storage.read_text(spark, f"{root}/{before}/MANIFEST.json"))["segments"]} if before else set()
+    except Exception:  # what can't be read has no readers
+        before = None
+    gone = [f"{root}/{v}" for v in storage.children(spark, root) if v[:1] == "v" and v[1:].isdigit() and v not in (version, before)]
+    gone += [f"{root}/segments/{s}" for s in storage.children(spark, f"{root}/segments") if s not in used]
+    for path in gone:
+        storage.delete_quietly(spark, path, tell)
 
 
 def _current(spark: SparkSession, root: str) -> str | None:
@@ -98,48 +160,106 @@ def _current(spark: SparkSession, root: str) -> str | None:
     return name if name.startswith("v") and name[1:].isdigit() else None
 
 
-def build(spark: SparkSession, root: str, corpus: DataFrame, progress: Callable[[str], None] | None = None) -> BuildStats:
-    """Index a corpus(path, mtime, size, content) from nothing."""
-    return _publish(spark, root, _grams(corpus), time.perf_counter(), progress)
+def _whole(spark: SparkSession, root: str, rows: DataFrame, started: float, tell: Callable[[str], None]) -> BuildStats:
+    """Publish a version of one segment."""
+    version, name = _names(spark, root)
+    s = _write_segment(spark, root, name, rows, tell)
+    size = sum(t[1] for t in s["tables"].values())
+    stats = BuildStats(s["files"], s["read"], s["ngrams"], s["postings"], size, s["reused"], time.perf_counter() - started)
+    _publish(spark, root, version, asdict(stats) | {"segments": [s], "dead": 0}, tell)
+    return stats
 
 
-def update(spark: SparkSession, root: str, corpus: DataFrame, always_hash: bool = False, progress: Callable[[str], None] | None = None) -> BuildStats:
+def build(spark: SparkSession, root: str, corpus: DataFrame, progress: Callable[[str], None] | None = None) -> BuildStats:
+    """Index a corpus(path, mtime, size, content) from nothing. Rows that share a path are one file."""
+    return _whole(spark, root, _grams(_spread(spark, corpus)), time.perf_counter(), progress or (lambda _: None))
+
+
+def update(
+    spark: SparkSession,
+    root: str,
+    corpus: DataFrame,
+    always_hash: bool = False,
+    progress: Callable[[str], None] | None = None,
+    listing: DataFrame | None = None,
+) -> BuildStats:
     """Index a corpus again, using what the live version has.
 
-    Equal path, mtime and size: grams are used again without reading the content. Equal content
-    hash: grams are used again. Else they are made anew; files that went are left out. Without a
-    readable gram table this is a full build.
+    A path whose rows have the same times and sizes as before is left as it is, without reading its content. Of
+    other paths, rows of a content that the path had before use its grams again, the others' are made anew.
+    Paths that went are left out. Without a readable version this is a full build. listing: (path, mtime, size)
+    of the corpus, where it can be had for less.
     """
     started = time.perf_counter()
     try:
-        cache = Index.open(spark, root).grams()
+        index = Index.open(spark, root)
     except (FileNotFoundError, CorruptIndex):
         return build(spark, root, corpus, progress)
-    # The large gram arrays aren't joined to contents; the first join is over the narrow columns.
-    narrow = cache.select("path", F.col("mtime").alias("_mtime"), F.col("size").alias("_size"), F.col("content_hash").alias("_hash"))
-    same_stat = F.coalesce((F.col("_mtime") == F.col("mtime")) & (F.col("_size") == F.col("size")), F.lit(False))
-    if always_hash:
-        same_stat = F.lit(False)
-    here = corpus.select("path", "mtime", "size").join(narrow, "path", "left")
-    untouched = here.where(same_stat).select("path", "mtime", "size")
-    touched = corpus.join(untouched.select("path"), "path", "left_anti")
-    hashed = touched.select("path", "mtime", "size", F.sha2(F.col("content").cast("binary"), 256).alias("content_hash"))
-    same_content = hashed.join(narrow.select("path", "_hash"), "path").where(F.col("content_hash") == F.col("_hash")).select("path", "mtime", "size")
-    again = untouched.unionByName(same_content).join(cache.select("path", "content_hash", "grams"), "path")
-    fresh = touched.join(same_content.select("path"), "path", "left_anti")
-    every = _grams(fresh).unionByName(again.withColumn("reused", F.lit(True)))
-    return _publish(spark, root, every, started, progress)
+    # One row for each path and side; repeated rows count.
+    mark = [F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("mtime", "size").cast("decimal(38,0)")).alias("sum")]
+    here = (corpus if listing is None else listing).groupBy("path").agg(*mark)
+    had = index.cache().where(F.col("size") != REMOVED).groupBy("path").agg(*mark)
+    both = here.alias("a").join(had.alias("b"), "path", "full")
+    same = F.lit(not always_hash) & F.col("a.n").eqNullSafe(F.col("b.n")) & F.col("a.sum").eqNullSafe(F.col("b.sum"))
+    changed = storage.cut(both.where(~same).select("path", F.col("a.n").isNotNull().alias("here")))
+    touched = corpus.join(_few(changed.where("here").select("path")), "path", "left_semi")
+    return _apply(spark, root, index, changed.select("path"), touched, None, started, progress or (lambda _: None))
+
+
+def _apply(
+    spark: SparkSession, root: str, index: Index, changed: DataFrame, touched: DataFrame, removed: DataFrame | None, started: float, tell: Callable[[str], None]
+) -> BuildStats:
+    """Publish a version in which the rows of changed paths are those of touched; removed: (path, mtime) to remember."""
+    paths = _few(changed)
+    old = index.cache().join(paths, "path", "left_semi")
+    known = old.where(F.col("size") != REMOVED).select("path", "content_hash", "grams").dropDuplicates(["path", "content_hash"])
+    hashed = touched.withColumn("content_hash", _hash(F.col("content")))
+    again = hashed.select("path", "mtime", "size", "content_hash").join(known, ["path", "content_hash"])
+    fresh = hashed.join(known.select("path", "content_hash"), ["path", "content_hash"], "left_anti")
+    columns = ["file_id", "path", "mtime", "size", "content_hash", "grams", "reused"]
+    rows = _grams(fresh).select(*columns).unionByName(again.select(file_id(F.col("path")).alias("file_id"), "path", "mtime", "size", "content_hash", "grams", F.lit(True).alias("reused")))
+    if removed is not None:
+        marks = removed.select(file_id(F.col("path")).alias("file_id"), "path", "mtime", F.lit(REMOVED).cast("long").alias("size"))
+        rows = rows.unionByName(marks.select("*", F.lit(None).cast("string").alias("content_hash"), F.array().cast("array<bigint>").alias("grams"), F.lit(True).alias("reused")))
+    m = index.manifest
+    gone = storage.cut(old.select("segment", "file_id", "size").distinct())
+    n_gone = gone.where(F.col("size") != REMOVED).select("file_id").distinct().count()
+    if len(m["segments"]) + 1 > MOST_SEGMENTS or m["dead"] + n_gone > MOST_DEAD * max(m["files"], 1):
+        kept = index.cache().join(paths, "path", "left_anti").withColumn("reused", F.lit(True))
+        return _whole(spark, root, rows.unionByName(kept.select(*columns)), started, tell)
+    version, name = _names(spark, root)
+    s = _write_segment(spark, root, name, rows, tell)
+    at = f"{root}/{version}"
+    index.dead().unionByName(gone.select("segment", "file_id").distinct()).write.parquet(f"{at}/dead")
+    lost = storage.cut(old.select("file_id", F.explode("grams").alias("gram")).distinct().groupBy("gram").agg(F.count(F.lit(1)).alias("n")))
+    index.dead_counts().unionByName(lost).groupBy("gram").agg(F.sum("n").alias("n")).write.parquet(f"{at}/dead_counts")
+    more = _read(spark, TABLES["counts"], f"{root}/segments/{name}/counts")
+    # Only grams of what changed can come or go.
+    asked = storage.cut(more.select("gram").unionByName(lost.select("gram")).distinct())
+    before = index.counts().join(_few(asked), "gram", "left_semi")
+    signed = before.select("gram", "n", F.lit(0).alias("change")).unionByName(more.select("gram", F.lit(0).alias("n"), F.col("n").alias("change"))).unionByName(lost.select("gram", F.lit(0).alias("n"), (-F.col("n")).alias("change")))
+    each = signed.groupBy("gram").agg(F.sum("n").alias("n"), F.sum("change").alias("change"))
+    came = each.agg(F.coalesce(F.sum((F.col("n") + F.col("change") > 0).cast("long") - (F.col("n") > 0).cast("long")), F.lit(0))).first()[0]
+    n_lost = lost.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    files = m["files"] - n_gone + s["files"]
+    segments = [*m["segments"], s]
+    extra = {t: storage.measure(spark, f"{at}/{t}") for t in ("dead", "dead_counts")}
+    size = sum(t[1] for x in segments for t in x["tables"].values()) + sum(t[1] for t in extra.values())
+    stats = BuildStats(files, s["read"], m["ngrams"] + came, m["postings"] - n_lost + s["postings"], size, files - s["files"] + s["reused"], time.perf_counter() - started)
+    _publish(spark, root, version, asdict(stats) | {"segments": segments, "dead": m["dead"] + n_gone, "extra": extra}, tell)
+    return stats
 
 
 @dataclass(frozen=True)
 class Index:
     spark: SparkSession
-    at: str
+    root: str
+    version: str
     manifest: dict
 
     @classmethod
     def open(cls, spark: SparkSession, root: str) -> Index:
-        """FileNotFoundError without an index, CorruptIndex for one that can't be trusted."""
+        """FileNotFoundError without an index, CorruptIndex for one that can't be trusted: each table must have the files and bytes that the manifest says."""
         if not storage.exists(spark, f"{root}/CURRENT"):
             raise FileNotFoundError(root)
         version = _current(spark, root)
@@ -148,28 +268,60 @@ class Index:
             raise CorruptIndex(f"{root}: the live version isn't there")
         try:
             manifest = json.loads(storage.read_text(spark, f"{at}/MANIFEST.json"))
-            good = manifest["format"] == FORMAT
-        except (ValueError, KeyError, TypeError) as e:
-            raise CorruptIndex(f"{at}: {e}") from e
-        index = cls(spark, at, manifest)
-        if not good or not all(storage.exists(spark, f"{at}/{t}/_SUCCESS") for t in TABLES):
-            raise CorruptIndex(f"{at}: tables are missing")
-        try:
-            ok = index.files().columns and index.postings().columns and index.files().count() == manifest["files"] and index.postings().count() == manifest["postings"]
+            if manifest["format"] != FORMAT:
+                raise CorruptIndex(f"{at}: another format")
+            tables = {f"{root}/segments/{s['name']}/{t}": s["tables"][t] for s in manifest["segments"] for t in TABLES}
+            tables |= {f"{at}/{t}": size for t, size in manifest.get("extra", {}).items()}
+        except CorruptIndex:
+            raise
         except Exception as e:
             raise CorruptIndex(f"{at}: {e}") from e
-        if not ok:
-            raise CorruptIndex(f"{at}: counts differ from the manifest")
-        return index
+        for path, size in tables.items():
+            if storage.measure(spark, path) != size:
+                raise CorruptIndex(f"{path}: not as it was written")
+        return cls(spark, root, version, manifest)
+
+    def _segments(self, table: str) -> list[str]:
+        return [f"{self.root}/segments/{s['name']}/{table}" for s in self.manifest["segments"]]
+
+    def _extra(self, table: str, schema: str) -> DataFrame:
+        return _read(self.spark, schema, *([f"{self.root}/{self.version}/{table}"] if "extra" in self.manifest else []))
+
+    def dead(self) -> DataFrame:
+        return self._extra("dead", DEAD)
+
+    def dead_counts(self) -> DataFrame:
+        return self._extra("dead_counts", DEAD_COUNTS)
+
+    def _live(self, table: str) -> DataFrame:
+        """The rows of a table that has file_id, and their segment, without those of dead files."""
+        out = None
+        for s, path in zip(self.manifest["segments"], self._segments(table), strict=True):
+            one = _read(self.spark, TABLES[table], path).withColumn("segment", F.lit(s["name"]))
+            out = one if out is None else out.unionByName(one)
+        return out.join(_few(self.dead()), ["segment", "file_id"], "left_anti") if "extra" in self.manifest else out
+
+    @cached_property
+    def _postings(self) -> DataFrame:
+        return self._live("postings").select("gram", "file_id")
+
+    @cached_property
+    def _counts(self) -> DataFrame:
+        return _read(self.spark, TABLES["counts"], *self._segments("counts"))
+
+    def cache(self) -> DataFrame:
+        """The live rows of the grams table, and their segment."""
+        return self._live("grams")
 
     def files(self) -> DataFrame:
-        return self.spark.read.schema("file_id long, path string, mtime long, size long").parquet(f"{self.at}/files")
+        return self._live("files").select("file_id", "path", "mtime", "size")
 
     def grams(self) -> DataFrame:
-        return self.spark.read.schema("path string, mtime long, size long, content_hash string, grams array<bigint>").parquet(f"{self.at}/grams")
+        """(path, mtime, size, content_hash, grams) of each row of the corpus."""
+        return self.cache().where(F.col("size") != REMOVED).select("path", "mtime", "size", "content_hash", "grams")
 
     def postings(self) -> DataFrame:
-        return self.spark.read.schema("gram long, file_id long").parquet(f"{self.at}/postings")
+        return self._postings
 
     def file_count(self) -> int:
         return self.manifest["files"]
@@ -188,7 +340,11 @@ class Index:
         return self.postings().where(F.col("gram") == gram).select("file_id").orderBy("file_id")
 
     def counts(self) -> DataFrame:
-        return self.spark.read.schema("gram long, n long").parquet(f"{self.at}/counts")
+        """(gram, n): live files of each gram."""
+        if "extra" not in self.manifest:
+            return self._counts
+        both = self._counts.unionByName(self.dead_counts().select("gram", (-F.col("n")).alias("n")))
+        return both.groupBy("gram").agg(F.sum("n").alias("n")).where("n > 0")
 
     def file_path(self, id_: int) -> str | None:
         row = self.files().where(F.col("file_id") == id_).first()
@@ -200,9 +356,12 @@ class Index:
         return row and (row["mtime"], row["size"])
 
     def frequencies(self, plan: QueryPlan) -> dict[int, int]:
-        """Files of each gram of a plan; grams that the index lacks are left out. A plan's grams are bounded by its limits."""
+        """Files of each gram of a plan, dead ones included; grams that the index lacks are left out. A plan's grams are bounded by its limits."""
         grams = sorted({g for side in plan.sides for branch in side for g in branch.grams})
-        return {r["gram"]: r["n"] for r in self.counts().where(F.col("gram").isin(grams)).collect()} if grams else {}
+        out: dict[int, int] = {}
+        for r in self._counts.where(F.col("gram").isin(grams)).collect() if grams else ():
+            out[r["gram"]] = out.get(r["gram"], 0) + r["n"]
+        return out
 
     def bound(self, plan: QueryPlan, frequency: dict[int, int] | None = None) -> int:
         """No more candidates than this: the rarest gram of each branch bounds it, and the better side the plan."""
@@ -211,6 +370,33 @@ class Index:
         n = self.frequencies(plan) if frequency is None else frequency
         return min(sum(min(n.get(g, 0) for g in branch.grams) for branch in side) for side in plan.sides)
 
+    def _few_candidates(self, plan: QueryPlan, n: dict[int, int]) -> list[int] | None:
+        """The candidates, intersected by the driver, if that takes few postings; else None."""
+        sides = []
+        for side in plan.sides:
+            branches, cost = [], 0
+            for branch in side:
+                rarest = sorted(branch.grams, key=lambda g: n.get(g, 0))[:GRAMS_PER_BRANCH]
+                if n.get(rarest[0], 0):  # else no file has all of them
+                    used = [g for k, g in enumerate(rarest) if k == 0 or n[g] <= 4 * n[rarest[0]]]
+                    branches.append(used)
+                    cost += sum(n[g] for g in used)
+            sides.append((cost, branches))
+        sides.sort(key=lambda s: s[0])
+        # The cheaper side bounds the candidates; the other one is looked up, too, where that is cheap.
+        taken = [b for k, (cost, b) in enumerate(sides) if k == 0 or cost <= DRIVER_POSTINGS // 2]
+        grams = {g for branches in taken for b in branches for g in b}
+        if sum(n[g] for g in grams) > DRIVER_POSTINGS:
+            return None
+        held: dict[int, set[int]] = {g: set() for g in grams}
+        for gram, id_ in self.postings().where(F.col("gram").isin(sorted(grams))).collect() if grams else ():
+            held[gram].add(id_)
+        out: set[int] | None = None
+        for branches in taken:
+            own = set().union(*(set.intersection(*(held[g] for g in b)) for b in branches))
+            out = own if out is None else out & own
+        return sorted(out or ())
+
     def candidates(self, plan: QueryPlan, frequency: dict[int, int] | None = None) -> DataFrame | None:
         """(file_id) of files that may match; None: any may. A file is there if each constrained side has a branch all of whose grams looked up it has."""
         sides = plan.sides
@@ -230,6 +416,16 @@ class Index:
         whole = held.where(F.col("have") == F.col("n"))
         return whole.groupBy("file_id").agg(F.count_distinct("side").alias("sides")).where(F.col("sides") == len(sides)).select("file_id")
 
+    def _by_key(self, corpus: DataFrame, ids: list[int]) -> DataFrame:
+        """The corpus without row groups that its key rules out, where it has one key and that is a whole number."""
+        keys = [f for f in corpus.schema if f.name.startswith("key_")]
+        if self.file_count() < KEYED_FILES or len(ids) > KEYED_IDS or len(keys) != 1 or keys[0].dataType.simpleString() not in ("int", "bigint", "smallint", "tinyint"):
+            return corpus
+        paths = [r["path"] for r in self.files().where(F.col("file_id").isin(ids)).select("path").collect()]
+        named = [int(p) for p in paths if p]
+        key = F.col(keys[0].name)
+        return corpus.where(key.isin(named) | key.isNull() if "" in paths else key.isin(named))
+
     def prune(self, corpus: DataFrame, plan: QueryPlan, path: Column | None = None, scan_share: float = SCAN_SHARE) -> DataFrame:
         """The candidates of a corpus, or all of it where that costs less. scan_share above 1 asks for the candidates."""
         if plan.unconstrained:
@@ -240,8 +436,13 @@ class Index:
             return corpus.where(F.lit(False))
         if most > BROADCAST_IDS or most > scan_share * self.file_count():
             return corpus
-        found = self.candidates(plan, frequency).withColumnRenamed("file_id", "_file_id")
+        ids = self._few_candidates(plan, frequency)
+        if ids is not None:
+            corpus = self._by_key(corpus, ids) if path is None else corpus
         named = corpus.withColumn("_file_id", file_id(F.col("path") if path is None else path))
+        if ids is not None:
+            return named.where(F.col("_file_id").isin(ids)).drop("_file_id")
+        found = self.candidates(plan, frequency).withColumnRenamed("file_id", "_file_id")
         return named.join(F.broadcast(found), "_file_id", "left_semi").drop("_file_id")
 
 

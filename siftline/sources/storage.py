@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def path_of(spark: SparkSession, path: str):
@@ -48,6 +50,18 @@ def delete(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
+def delete_quietly(spark: SparkSession, path: str, tell: Callable[[str], None], tries: int = 3) -> None:
+    """Delete what nothing needs any more; where that fails, it is told and left to a later time."""
+    for k in range(tries):
+        try:
+            delete(spark, path)
+            return
+        except Exception as e:
+            if k == tries - 1:
+                tell(f"{path} couldn't be deleted: {e}")
+            time.sleep(0.1 * (k + 1))
+
+
 def children(spark: SparkSession, path: str) -> list[str]:
     p, fs = path_of(spark, path)
     return [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
@@ -58,6 +72,23 @@ def size_of(spark: SparkSession, path: str) -> int:
     return fs.getContentSummary(p).getLength()
 
 
+def measure(spark: SparkSession, path: str) -> list[int]:
+    """[files, bytes] of a folder; [0, 0] without it."""
+    p, fs = path_of(spark, path)
+    if not fs.exists(p):
+        return [0, 0]
+    summary = fs.getContentSummary(p)
+    return [summary.getFileCount(), summary.getLength()]
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise a narrow frame in the shared folder; it survives lost executors."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(work_dir(df.sparkSession))
+    return df.checkpoint(eager=True)
+
+
 _work: dict[str, str] = {}
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
@@ -11,18 +13,28 @@ from siftline.sources import storage
 
 
 def apply_changes(root: str, changes: DataFrame) -> ix.BuildStats | None:
-    """Put changed files, (path, mtime, size, content), into the index; null content removes. The newest row of a path counts."""
-    spark = changes.sparkSession
-    newest = changes.groupBy("path").agg(F.max_by(F.struct("mtime", "size", "content"), "mtime").alias("r")).select("path", "r.*")
-    if newest.isEmpty():
+    """Put changed files, (path, mtime, size, content), into the index; null content removes.
+
+    The newest row of a path counts, of equal times the one with the greatest content hash (a removal has none and is
+    the least). A row that isn't newer than what the index has, or than the removal that it remembers, changes
+    nothing, whichever batch it comes in; None if no row does. Rows without a path are left out; a null time is 0.
+    """
+    spark, started = changes.sparkSession, time.perf_counter()
+    if not storage.exists(spark, f"{root}/CURRENT"):
+        empty = spark.createDataFrame([], "path string, mtime long, size long, content binary")
+        ix.build(spark, root, empty)
+    index = ix.Index.open(spark, root)
+    rank = F.struct(F.coalesce("mtime", F.lit(0)).cast("long").alias("mtime"), ix._hash(F.col("content")).alias("content_hash"))
+    row = F.struct("size", F.col("content").cast("binary").alias("content"))
+    newest = changes.where(F.col("path").isNotNull()).select("path", rank.alias("rank"), row.alias("row")).groupBy("path").agg(F.max("rank").alias("rank"), F.max_by("row", "rank").alias("row"))
+    had = index.cache().join(changes.select("path").distinct(), "path", "left_semi").groupBy("path").agg(F.max(F.struct("mtime", "content_hash")).alias("had"))
+    new = storage.cut(newest.join(had, "path", "left").where(F.col("had").isNull() | (F.col("rank") > F.col("had"))).select("path", "rank.mtime", "row.size", "row.content"))
+    if new.isEmpty():
         return None
-    fresh = ix._grams(newest.where(F.col("content").isNotNull()))
-    if storage.exists(spark, f"{root}/CURRENT"):
-        kept = ix.Index.open(spark, root).grams().join(newest.select("path"), "path", "left_anti")
-        fresh = fresh.unionByName(kept.withColumn("reused", F.lit(True)))
-    import time
-
-    return ix._publish(spark, root, fresh, time.perf_counter(), None)
+    size = F.coalesce("size", F.octet_length("content")).cast("long")
+    touched = new.where(F.col("content").isNotNull()).withColumn("size", size)
+    removed = new.where(F.col("content").isNull()).select("path", "mtime")
+    return ix._apply(spark, root, index, new.select("path"), touched, removed, started, lambda _: None)
 
 
 def index_stream(changes: DataFrame, root: str, checkpoint: str) -> DataStreamWriter:

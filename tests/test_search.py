@@ -1,3 +1,4 @@
+import hashlib
 import io
 import json
 import os
@@ -194,3 +195,88 @@ def test_stream_of_changes(spark, tmp_path):
     stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in" / "2"))
     index_stream(stream, root, str(tmp_path / "cp")).start().awaitTermination(120)
     assert {r["path"] for r in ix.Index.open(spark, root).files().collect()} == {"a", "c"}
+
+
+def test_repeated_paths(spark, tmp_path):
+    """Rows that share a path are one file with the grams of all; updates of such tables equal a rebuild."""
+    schema = "id string, m long, t string"
+    rows = [("a", 1, "hello one"), ("a", 1, "goodbye two"), ("a", 1, "hello one"), (None, 2, "third words"), ("", 3, "fourth words"), ("b", 1, "hello five")]
+    corpus = lambda rows: table_corpus(spark.createDataFrame(rows, schema), ["id"], "t", F.col("m"))
+    root, later = str(tmp_path / "ix"), [*rows[:4], ("", 3, "changed words now"), ("c", 1, "hello six"), ("c", 2, "seven")]
+    assert ix.build(spark, root, corpus(rows)).files == 3
+    for step in (rows, later, later, rows, later):
+        stats = ix.update(spark, root, corpus(step))
+        index = ix.Index.open(spark, root)
+        ix.build(spark, str(tmp_path / "fresh"), corpus(step))
+        fresh = ix.Index.open(spark, str(tmp_path / "fresh"))
+        assert rows_of(index.postings()) == rows_of(fresh.postings()) and rows_of(index.files()) == rows_of(fresh.files()) and rows_of(index.grams()) == rows_of(fresh.grams())
+        assert rows_of(index.counts()) == rows_of(fresh.counts())
+        assert (stats.files, stats.ngrams, stats.postings) == (fresh.file_count(), fresh.ngram_count(), fresh.posting_count())
+        for p in ("hello", "words", "seven", "goodbye"):
+            assert rows_of(ix.search(index, corpus(step), p, scan_share=2.0)) == rows_of(op.brute(corpus(step), p))
+    assert stats.reused_files == 1
+
+
+def rows_of(df):
+    return sorted(map(str, df.collect()))
+
+
+def test_segments_are_merged(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ix, "MOST_SEGMENTS", 3)
+    corpus = lambda k: table_corpus(spark.createDataFrame([(i, k if i < k else 0, f"text number {i} of {'old' if i >= k else f'new{k}'} words") for i in range(40)], "id long, m long, t string"), ["id"], "t", F.col("m"))
+    root, many = str(tmp_path / "ix"), []
+    ix.build(spark, root, corpus(0))
+    for k in range(1, 6):
+        stats = ix.update(spark, root, corpus(k))
+        index = ix.Index.open(spark, root)
+        many.append(len(index.manifest["segments"]))
+        assert stats.files == 40 and stats.reused_files == 40 - k and index.files().count() == 40
+        assert rows_of(ix.search(index, corpus(k), f"new{k}", scan_share=2.0)) == rows_of(op.brute(corpus(k), f"new{k}"))
+        assert index.postings().count() == index.posting_count() and index.counts().count() == index.ngram_count()
+    assert many == [2, 3, 1, 2, 3] and len(os.listdir(f"{root}/segments")) <= 5
+
+
+def test_looked_up_by_key_and_by_shuffle(spark, tmp_path, monkeypatch):
+    df = spark.createDataFrame([(i, f"word{i % 7} text{i} {'needle' if i % 50 == 3 else 'hay'}") for i in range(300)] + [(None, "needle without key")], "id long, t string")
+    corpus, root = table_corpus(df, ["id"], "t"), str(tmp_path / "ix")
+    ix.build(spark, root, corpus)
+    index = ix.Index.open(spark, root)
+    for name, value in (("KEYED_FILES", 0), ("KEYED_IDS", 0), ("DRIVER_POSTINGS", 0)):
+        monkeypatch.setattr(ix, name, value)
+        for pattern in ("needle", "needle|word3", "text1.*hay", "text29[0-9] hay", "zzzzzz", "word6.*needle"):
+            assert rows_of(ix.search(index, corpus, pattern, scan_share=2.0)) == rows_of(op.brute(corpus, pattern)), (name, pattern)
+
+
+@pytest.mark.parametrize("table", ["counts", "postings", "files", "grams"])
+def test_damaged_tables_are_noticed(spark, tmp_path, table):
+    root = tmp_path / "ix"
+    corpus = table_corpus(spark.createDataFrame([(i, f"hello world {i}") for i in range(30)], "id int, t string"), ["id"], "t")
+    ix.build(spark, str(root), corpus)
+    part = max((root / "segments" / "s1" / table).glob("part-*.parquet"), key=lambda p: p.stat().st_size)
+    whole = part.read_bytes()
+    for p in part.parent.glob(f".{part.name}.crc"):
+        p.unlink()
+    for damaged in (whole[:-20], whole + b"x", None):
+        part.write_bytes(damaged) if damaged is not None else part.unlink()
+        with pytest.raises(ix.CorruptIndex):
+            ix.Index.open(spark, str(root))
+    assert ix.update(spark, str(root), corpus).reused_files == 0 and ix.Index.open(spark, str(root)).file_count() == 30
+
+
+def test_late_rows_of_a_stream(spark, tmp_path):
+    root, schema = str(tmp_path / "ix"), "path string, mtime long, size long, content string"
+    put = lambda *rows: apply_changes(root, spark.createDataFrame(list(rows), schema))
+    state = lambda: {(r["path"], r["mtime"], r["content_hash"][:8]) for r in ix.Index.open(spark, root).grams().collect()}
+    of = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    put(("a", 5, 3, "new"), ("a", 1, 3, "old"), ("b", 2, 1, "b"), (None, 9, 1, "x"))
+    assert put(("a", 1, 3, "old"), ("a", 4, 0, None)) is None and state() == {("a", 5, of("new")[:8]), ("b", 2, of("b")[:8])}
+    tie = max("one", "two", key=of)
+    put(("b", 3, 3, "two"), ("b", 3, 3, "one"))
+    assert put(("b", 3, 3, min("one", "two", key=of)), ("b", 3, 0, None)) is None and ("b", 3, of(tie)[:8]) in state()
+    put(("a", 6, 0, None))
+    assert put(("a", 6, 0, None)) is None and put(("a", 5, 3, "new")) is None and state() == {("b", 3, of(tie)[:8])}
+    assert ix.Index.open(spark, root).file_count() == 1 == ix.Index.open(spark, root).files().count()
+    put(("a", 7, 4, "back"))
+    assert {p for p, _, _ in state()} == {"a", "b"} and ix.Index.open(spark, root).postings().count() == ix.Index.open(spark, root).posting_count()
+    final = table_corpus(spark.createDataFrame([("a", "back"), ("c", "c's text")], "id string, t string"), ["id"], "t")
+    assert ix.update(spark, root, final).files == 2 and {p for p, _, _ in state()} == {"a", "c"}
