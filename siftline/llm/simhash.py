@@ -278,19 +278,12 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def linked(pairs: DataFrame, texts: DataFrame, width: int = 3) -> DataFrame:
-    """(a, b) of the fingerprints of pairs (a, b) of keys of texts (h, text), as further links."""
-    fps = cut(fingerprints(texts, "h", "text", width))
-    named = pairs.join(fps.toDF("a", "fa"), "a").join(fps.toDF("b", "fb"), "b")
-    return named.select(F.col("fa").alias("a"), F.col("fb").alias("b")).distinct()
-
-
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, threshold: int = THRESHOLD, more: DataFrame | None = None
 ) -> DataFrame:
     """(id, fp, component_id) for each input row; component_id: least id reachable over links of at most threshold bits.
 
-    more: further links (a, b) of fingerprints of docs.
+    more: further links (a, b) of texts; a text's name is the id's field h, so ids are structs then.
 
     Null and empty texts have the fingerprint 0 and link like any other; ids are of any type that has
     an order; null ids get a component, but are never its id (null where a component has no other);
@@ -299,7 +292,11 @@ def near_duplicates(
     rows = cut(fingerprints(docs, id_col, text_col, width))
     distinct = cut(rows.groupBy("fp").agg(F.min("id").alias("least")))
     edges = links(distinct, threshold)
-    roots = components(edges if more is None else edges.unionByName(more))
+    if more is not None:
+        names = rows.select("id.h", "fp").distinct()
+        pairs = more.join(names.toDF("a", "fa"), "a").join(names.toDF("b", "fb"), "b")
+        edges = edges.unionByName(pairs.select(F.col("fa").alias("a"), F.col("fb").alias("b")))
+    roots = components(edges)
     grouped = distinct.join(roots, distinct["fp"] == roots["node"], "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root")
     )
