@@ -182,13 +182,14 @@ def update(
     always_hash: bool = False,
     progress: Callable[[str], None] | None = None,
     listing: DataFrame | None = None,
+    contents: Callable[[DataFrame], DataFrame] | None = None,
 ) -> BuildStats:
     """Index a corpus again, using what the live version has.
 
     A path whose rows have the same times and sizes as before is left as it is, without reading its content. Of
     other paths, rows of a content that the path had before use its grams again, the others' are made anew.
     Paths that went are left out. Without a readable version this is a full build. listing: (path, mtime, size)
-    of the corpus, where it can be had for less.
+    of the corpus, where it can be had for less; contents: makes rows of a corpus from some of the listing's.
     """
     started = time.perf_counter()
     try:
@@ -202,7 +203,9 @@ def update(
     both = here.alias("a").join(had.alias("b"), "path", "full")
     same = F.lit(not always_hash) & F.col("a.n").eqNullSafe(F.col("b.n")) & F.col("a.sum").eqNullSafe(F.col("b.sum"))
     changed = storage.cut(both.where(~same).select("path", F.col("a.n").isNotNull().alias("here")))
-    touched = corpus.join(_few(changed.where("here").select("path")), "path", "left_semi")
+    own = corpus if contents is None or listing is None else listing
+    touched = own.join(_few(changed.where("here").select("path")), "path", "left_semi")
+    touched = touched if own is corpus else contents(touched)
     return _apply(spark, root, index, changed.select("path"), touched, None, started, progress or (lambda _: None))
 
 

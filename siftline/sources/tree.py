@@ -1,17 +1,18 @@
 """Corpora from a tree of files, on a file system that driver and executors share.
 
-The driver lists the tree once, applying ignore files, names, sizes and links; executors sniff and
-read the files.
+listing() gives the files to index, by ignore files, names, sizes, links and their first bytes: the driver
+walks the upper folders only, tasks walk the folders below. contents() reads the files of a listing.
 """
 
 from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import lru_cache
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -96,7 +97,7 @@ def read_rules(path: str, base: str | None = None) -> list[IgnoreRule]:
     return out
 
 
-def _ignored(path: str, folder: bool, levels: list[list[IgnoreRule]]) -> bool:
+def _ignored(path: str, folder: bool, levels: Sequence[Sequence[IgnoreRule]]) -> bool:
     """The nearest level that says something decides; in it the last rule that fits."""
     for rules in reversed(levels):
         for rule in reversed(rules):
@@ -125,50 +126,111 @@ def display_root(root: str) -> str:
 _BINARY = {e.lower() for e in BINARY_EXTENSIONS}
 
 
-def scan(root: str, options: ScanOptions = ScanOptions()) -> list[tuple[str, int, int]]:
-    """(path, mtime, size) of the files to index, by path. Contents aren't read here."""
-    root = display_root(root)
-    levels = [read_rules(os.path.expanduser("~/.config/git/ignore"), root), read_rules(os.path.join(root, ".git/info/exclude"), root)]
-    parents, above = [], os.path.dirname(root)
-    while True:
-        parents.append(above)
-        if os.path.dirname(above) == above:
-            break
-        above = os.path.dirname(above)
-    levels += [_folder_rules(p) for p in reversed(parents)]
-    out: list[tuple[str, int, int]] = []
-
-    def walk(folder: str, levels: list[list[IgnoreRule]], above: frozenset) -> None:
+def _config_excludes(path: str) -> str | None:
+    """core.excludesFile of a git configuration file."""
+    section, out = "", None
+    try:
+        with open(path, encoding="utf-8", errors="replace") as f:
+            for line in f:
+                line = line.strip()
+                if line.startswith("["):
+                    section = line.strip("[]").strip().lower()
+                elif section == "core" and line.partition("=")[0].strip().lower() == "excludesfile":
+                    out = line.partition("=")[2].strip().strip('"')
+    except OSError:
+        pass
+    return out
+
+
+def _outer_rules(root: str) -> list[list[IgnoreRule]]:
+    """Rules from outside the tree, weakest first: the user's, the repository's own file, and those of the folders above."""
+    home = os.path.expanduser("~")
+    xdg = os.environ.get("XDG_CONFIG_HOME") or os.path.join(home, ".config")
+    named = _config_excludes(os.path.join(home, ".gitconfig")) or _config_excludes(os.path.join(xdg, "git", "config"))
+    users = os.path.join(home, named[2:]) if named and named.startswith("~/") else named or os.path.join(xdg, "git", "ignore")
+    parents = [os.path.dirname(root)]
+    while os.path.dirname(parents[-1]) != parents[-1]:
+        parents.append(os.path.dirname(parents[-1]))
+    repository = next((p for p in (root, *parents) if os.path.exists(os.path.join(p, ".git"))), root)
+    own = read_rules(os.path.join(repository, ".git/info/exclude"), repository)
+    return [read_rules(users, repository), own, *(_folder_rules(p) for p in reversed(parents))]
+
+
+@dataclass(frozen=True)
+class Folder:
+    """A folder to walk: the rules of the folders above, and their identities, by which loops of links are told."""
+
+    path: str
+    levels: tuple[tuple[IgnoreRule, ...], ...]
+    above: frozenset
+
+
+File = tuple[str, int, int]
+
+
+def _fits(path: str, name: str, stat: os.stat_result, options: ScanOptions) -> bool:
+    return extension(name).lower() not in _BINARY and 0 < stat.st_size <= options.max_file_size and not _binary(path)
+
+
+def _binary(path: str) -> bool:
+    try:
+        with open(path, "rb") as f:
+            return b"\0" in f.read(SNIFF)
+    except OSError:
+        return True
+
+
+def _list(folder: Folder, options: ScanOptions) -> tuple[list[File], list[Folder]]:
+    """(files to index, folders to walk) of one folder, by name."""
+    try:
+        entries = sorted(os.scandir(folder.path), key=lambda e: e.name)
+    except OSError:
+        return [], []
+    levels = (*folder.levels, tuple(_folder_rules(folder.path)))
+    files, folders = [], []
+    for e in entries:
         try:
-            entries = sorted(os.scandir(folder), key=lambda e: e.name)
-        except OSError:
-            return
-        levels = [*levels, _folder_rules(folder)]
-        for e in entries:
-            try:
-                if is_hidden(e.name) or e.name in PRUNED or (e.is_symlink() and not options.follow_symlinks):
-                    continue
-                is_dir = e.is_dir()
-                if _ignored(e.path, is_dir, levels):
-                    continue
-                stat = e.stat()
-                if is_dir:
-                    if (stat.st_dev, stat.st_ino) not in above:
-                        walk(e.path, levels, above | {(stat.st_dev, stat.st_ino)})
-                elif e.is_file() and extension(e.name).lower() not in _BINARY and 0 < stat.st_size <= options.max_file_size:
-                    out.append((e.path, max(0, int(stat.st_mtime)), stat.st_size))
-            except OSError:
+            if is_hidden(e.name) or e.name in PRUNED or (e.is_symlink() and not options.follow_symlinks):
+                continue
+            is_dir = e.is_dir()
+            if _ignored(e.path, is_dir, levels):
                 continue
+            stat = e.stat()
+            if is_dir:
+                if (stat.st_dev, stat.st_ino) not in folder.above:
+                    folders.append(Folder(e.path, levels, folder.above | {(stat.st_dev, stat.st_ino)}))
+            elif e.is_file() and _fits(e.path, e.name, stat, options):
+                files.append((e.path, max(0, int(stat.st_mtime)), stat.st_size))
+        except OSError:
+            continue
+    return files, folders
+
 
+def walk(folders: list[Folder], options: ScanOptions) -> Iterator[File]:
+    """The files of folders and of all below."""
+    todo = folders[::-1]
+    while todo:
+        files, below = _list(todo.pop(), options)
+        yield from files
+        todo += below[::-1]
+
+
+def _root(root: str, options: ScanOptions) -> tuple[list[File], list[Folder]]:
+    root = display_root(root)
     if os.path.isfile(root):
-        folder, name = os.path.split(root)
-        stat = os.stat(root)
-        if not is_hidden(name) and extension(name).lower() not in _BINARY and 0 < stat.st_size <= options.max_file_size:
-            out.append((root, max(0, int(stat.st_mtime)), stat.st_size))
-    elif os.path.isdir(root):
-        stat = os.stat(root)
-        walk(root, levels, frozenset([(stat.st_dev, stat.st_ino)]))
-    return sorted(out, key=lambda x: os.fsencode(x[0]))
+        name, stat = os.path.basename(root), os.stat(root)
+        fits = not is_hidden(name) and _fits(root, name, stat, options)
+        return ([(root, max(0, int(stat.st_mtime)), stat.st_size)] if fits else []), []
+    if not os.path.isdir(root):
+        return [], []
+    stat = os.stat(root)
+    return [], [Folder(root, tuple(map(tuple, _outer_rules(root))), frozenset([(stat.st_dev, stat.st_ino)]))]
+
+
+def scan(root: str, options: ScanOptions = ScanOptions()) -> list[File]:
+    """(path, mtime, size) of the files to index, by path, listed here and now."""
+    files, folders = _root(root, options)
+    return sorted([*files, *walk(folders, options)], key=lambda x: os.fsencode(x[0]))
 
 
 def read_file(path: str) -> bytes | None:
@@ -181,53 +243,58 @@ def read_file(path: str) -> bytes | None:
     return None if b"\0" in content[:SNIFF] else content
 
 
-SCHEMA = "path string, mtime long, size long, content binary"
+LISTING, SCHEMA = "path string, mtime long, size long", "path string, mtime long, size long, content binary"
+#: The driver walks folders until so many are left, which are the tasks; it hands out files in groups of so many.
+TASKS, FILES_PER_TASK = 256, 2_000
+#: Contents leave a task in batches of about so many bytes.
+BATCH_BYTES = 16 << 20
 
 
 @dataclass
-class FilePartition(InputPartition):
-    files: list[tuple[str, int, int]]
+class TreePartition(InputPartition):
+    files: list[File]
+    folders: list[Folder]
 
 
 class TreeReader(DataSourceReader):
-    def __init__(self, root: str, options: ScanOptions, partition_bytes: int) -> None:
-        self.root, self.options, self.partition_bytes = root, options, partition_bytes
-
-    def partitions(self) -> list[FilePartition]:
-        out, now, size = [], [], 0
-        for f in scan(self.root, self.options):
-            if now and size + f[2] > self.partition_bytes:
-                out.append(FilePartition(now))
-                now, size = [], 0
-            now.append(f)
-            size += f[2] + 4096
-        return [*out, FilePartition(now)] if now or not out else out
-
-    def read(self, partition: FilePartition) -> Iterator[tuple]:
-        for path, mtime, size in partition.files:
-            content = read_file(path)
-            if content is not None:
-                yield path, mtime, size, content
+    def __init__(self, root: str, options: ScanOptions) -> None:
+        self.root, self.options = root, options
+
+    def partitions(self) -> list[TreePartition]:
+        files, folders = _root(self.root, self.options)
+        while folders and len(folders) < TASKS:  # a level at a time
+            below = []
+            for f in folders:
+                own, under = _list(f, self.options)
+                files += own
+                below += under
+            folders = below
+        out = [TreePartition(files[k : k + FILES_PER_TASK], []) for k in range(0, len(files), FILES_PER_TASK)]
+        return out + [TreePartition([], [f]) for f in folders] or [TreePartition([], [])]
+
+    def read(self, partition: TreePartition) -> Iterator[tuple]:
+        yield from partition.files
+        yield from walk(partition.folders, self.options)
 
 
 class TreeDataSource(DataSource):
-    """spark.read.format("siftline_tree").option("max_file_size", ...).option("follow_symlinks", ...).load(root)"""
+    """spark.read.format("siftline_tree").option("max_file_size", ...).option("follow_symlinks", ...).load(root): a listing."""
 
     @classmethod
     def name(cls) -> str:
         return "siftline_tree"
 
     def schema(self) -> StructType | str:
-        return SCHEMA
+        return LISTING
 
     def reader(self, schema: StructType) -> TreeReader:
         o = self.options
         follow = str(o.get("follow_symlinks", "false")).lower() == "true"
-        return TreeReader(o["path"], ScanOptions(int(o.get("max_file_size", MAX_FILE_SIZE)), follow), int(o.get("partition_bytes", 32 << 20)))
+        return TreeReader(o["path"], ScanOptions(int(o.get("max_file_size", MAX_FILE_SIZE)), follow))
 
 
-def tree_corpus(spark: SparkSession, root: str, options: ScanOptions = ScanOptions()) -> DataFrame:
-    """corpus(path, mtime, size, content) of a tree."""
+def listing(spark: SparkSession, root: str, options: ScanOptions = ScanOptions()) -> DataFrame:
+    """(path, mtime, size) of a tree's files."""
     spark.dataSource.register(TreeDataSource)
     return (
         spark.read.format("siftline_tree")
@@ -237,6 +304,34 @@ def tree_corpus(spark: SparkSession, root: str, options: ScanOptions = ScanOptio
     )
 
 
+def contents(files: DataFrame) -> DataFrame:
+    """corpus(path, mtime, size, content) of listed files; those that are gone or turned binary are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, size = [], 0
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                content = read_file(row[0])
+                if content is not None:
+                    rows.append((*row, content))
+                    size += len(content)
+                if size > BATCH_BYTES:
+                    yield made(rows)
+                    rows, size = [], 0
+            yield made(rows)
+
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = (pa.string(), pa.int64(), pa.int64(), pa.binary())
+        return pa.record_batch([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["path", "mtime", "size", "content"])
+
+    return files.select("path", "mtime", "size").mapInArrow(run, SCHEMA)
+
+
+def tree_corpus(spark: SparkSession, root: str, options: ScanOptions = ScanOptions()) -> DataFrame:
+    """corpus(path, mtime, size, content) of a tree."""
+    return contents(listing(spark, root, options))
+
+
 def text_of(content) -> F.Column:
     """Valid UTF-8 of raw bytes; what is invalid becomes U+FFFD."""
     return F.make_valid_utf8(content.cast("string"))

@@ -148,13 +148,53 @@ def test_scanner(tmp_path):
     os.symlink(tmp_path / "a.txt", tmp_path / "link.txt")
     os.symlink(tmp_path, tmp_path / "loop")
     names = lambda o: {os.path.relpath(p, os.path.realpath(tmp_path)) for p, _, _ in tree.scan(str(tmp_path), o)}
-    assert names(tree.ScanOptions()) == {"a.txt", "_x.txt", "sub/keep.me", "ign/keep.txt", "max", "nul", "b c.txt"}
-    assert names(tree.ScanOptions(follow_symlinks=True)) == {"a.txt", "_x.txt", "sub/keep.me", "ign/keep.txt", "max", "nul", "b c.txt", "link.txt"}
+    assert names(tree.ScanOptions()) == {"a.txt", "_x.txt", "sub/keep.me", "ign/keep.txt", "max", "b c.txt"}
+    assert names(tree.ScanOptions(follow_symlinks=True)) == {"a.txt", "_x.txt", "sub/keep.me", "ign/keep.txt", "max", "b c.txt", "link.txt"}
     assert "over" in names(tree.ScanOptions(max_file_size=1 << 21))
     assert tree.read_file(str(tmp_path / "nul")) is None and tree.read_file(str(tmp_path / "gone")) is None
     assert tree.scan(str(tmp_path / "nowhere")) == []
 
 
+def test_tasks_walk_what_the_driver_does_not(spark, tmp_path, monkeypatch):
+    for k in range(40):
+        p = tmp_path / "t" / f"d{k % 5}" / f"e{k % 7}" / f"f{k}.txt"
+        p.parent.mkdir(parents=True, exist_ok=True)
+        p.write_text(f"text {k}")
+    (tmp_path / "t" / "d1" / ".gitignore").write_text("e2/\nf6.txt\n!f1.txt\n")
+    want = tree.scan(str(tmp_path / "t"))
+    assert 30 < len(want) < 40
+    for tasks in (1, 3, 1000):
+        monkeypatch.setattr(tree, "TASKS", tasks)
+        parts = tree.TreeReader(str(tmp_path / "t"), tree.ScanOptions()).partitions()
+        got = [f for p in parts for f in tree.TreeReader("", tree.ScanOptions()).read(p)]
+        assert sorted(got) == sorted(want) and any(p.folders for p in parts) == (tasks < 1000)
+    assert {(r["path"], bytes(r["content"]).decode()) for r in tree.tree_corpus(spark, str(tmp_path / "t")).collect()} == {(p, open(p).read()) for p, _, _ in want}
+
+
+def test_ignore_rules_from_outside(tmp_path, monkeypatch):
+    home, repo = tmp_path / "home", tmp_path / "repo"
+    for p in (home / ".config" / "git", repo / ".git" / "info", repo / "sub"):
+        p.mkdir(parents=True)
+    for name in ("a.txt", "a.bak", "a.own", "a.usr", "b.up"):
+        (repo / "sub" / name).write_text("x")
+    monkeypatch.setenv("HOME", str(home))
+    monkeypatch.delenv("XDG_CONFIG_HOME", raising=False)
+    names = lambda: {os.path.basename(p) for p, _, _ in tree.scan(str(repo / "sub"))}
+    assert len(names()) == 5
+    (home / ".config" / "git" / "ignore").write_text("*.bak\n")
+    (repo / ".git" / "info" / "exclude").write_text("/sub/*.own\n")
+    (repo / ".gitignore").write_text("*.up\n")
+    assert names() == {"a.txt", "a.usr"}
+    (home / "mine").write_text("*.usr\n")
+    (home / ".gitconfig").write_text("[user]\nname = x\n[core]\n\texcludesFile = ~/mine\n")
+    assert names() == {"a.txt", "a.bak"}
+    monkeypatch.setenv("XDG_CONFIG_HOME", str(tmp_path / "xdg"))
+    (home / ".gitconfig").unlink()
+    (tmp_path / "xdg" / "git").mkdir(parents=True)
+    (tmp_path / "xdg" / "git" / "ignore").write_text("a.txt\n")
+    assert names() == {"a.bak", "a.usr"}
+
+
 def run(spark, *args):
     out, err = io.StringIO(), io.StringIO()
     return cli.execute(list(args), out, err, lambda: spark), out.getvalue(), err.getvalue()
@@ -167,6 +207,7 @@ def test_command_line(spark, folder):
     assert out.splitlines() == run(spark, "--no-index", "hello", at)[1].splitlines()
     assert out.splitlines()[0].endswith("_x.txt:1:underscore hello")
     assert run(spark, "zzzzqqqq", at)[0] == 1
+    assert run(spark, "a" + "+" * 2000, at)[0] == 2 and run(spark, "(" * 400 + "a" + ")" * 400, at)[0] == 2 and run(spark, "(" * 100 + "hello" + ")" * 100, at)[0] == 0
     assert run(spark, "(", at)[0] == 2 and run(spark, "--nope", "x", at)[0] == 2 and run(spark)[0] == 2
     assert run(spark, "--help")[0] == 0
     assert {"path", "line_number", "line", "submatches"} == set(json.loads(run(spark, "--json", "el+", at)[1].splitlines()[0]))
