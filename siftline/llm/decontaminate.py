@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import cut, let
+from .base import cut, let, rows_of
 
 WIDTH, THRESHOLD = 5, 0.8
 #: Sketches and items are broadcast if they have at most so many rows and shingles, as counted; beyond, joins shuffle.
@@ -53,6 +53,11 @@ def _shingles(text: Column) -> Column:
     return let(_words(text), of)
 
 
+def _sized(shingles: Column, name: str) -> Column:
+    """A row (shingle, number of shingles) for each; the number goes with the element, so that no row carries the array."""
+    return F.inline_outer(let(shingles, lambda s: F.transform(s, lambda x: F.struct(x.alias("shingle"), F.size(s).alias(name)))))
+
+
 def sketches(items: DataFrame, threshold: float) -> DataFrame:
     """(item, need, least, shingle) of each item's sketch: hits needed, least size of a document. items: item, text."""
     sets = items.select("item", F.array_sort(F.array_distinct(_hashes(F.col("text")))).alias("h")).where(F.size("h") > 0)
@@ -108,15 +113,16 @@ def contained(
     items = items.withColumn("item", F.xxhash64("own_item", "text"))
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("h"))
     sketch = cut(sketches(items, threshold))
-    parts = cut(items.select("item", "own_item", _shingles(F.col("text")).alias("parts")).select("item", "own_item", F.size("parts").alias("n_item"), F.explode("parts").alias("shingle")))
+    parts = cut(items.select("item", "own_item", _sized(_shingles(F.col("text")), "n_item")).where(F.col("shingle").isNotNull()))
     few = sketch.count() <= BROADCAST_ROWS and parts.count() <= BROADCAST_ROWS
-    each = own.select("id", "h", F.array_distinct(_hashes(F.col("text"))).alias("s")).select("id", "h", F.size("s").alias("n"), F.explode("s").alias("shingle"))
-    met = _meet(each, sketch, "shingle", few).where(F.col("n") >= F.col("least"))
+    # n counts repeated shingles, too: it is no less than the document's size.
+    each = own.select("id", "h", _sized(_hashes(F.col("text")), "n"))
+    met = _meet(each, sketch, "shingle", few).where(F.col("n") >= F.col("least")).select("id", "h", "item", "need", "shingle").distinct()
     hits = met.groupBy("id", "h", "item", "need").agg(F.count(F.lit(1)).alias("hit")).where(F.col("hit") >= F.col("need"))
     keys = cut(hits.select(F.col("id").alias("i"), F.col("h").alias("hh")).distinct())
     same = F.col("id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("hh"))
     found = own.join(F.broadcast(keys) if keys.count() <= BROADCAST_DOCS else keys, same, "left_semi").dropDuplicates(["id", "h"])
-    held = _meet(found.select("id", "h", F.explode(_shingles(F.col("text"))).alias("shingle")), parts, "shingle", few)
+    held = _meet(found.select("id", "h", rows_of(_shingles(F.col("text")), "shingle")), parts, "shingle", few)
     shared = held.groupBy("id", "h", "item", "own_item", "n_item").agg(F.count(F.lit(1)).alias("n_shared"))
     return shared.where(F.col("n_shared") >= F.ceil(F.lit(threshold) * F.col("n_item") - 1e-9)).select(
         F.col("id").alias(id_col),
