@@ -61,6 +61,12 @@ def running(numbers: Column, step: Callable[[Column, Column], Column] = lambda a
     )
 
 
+def rows_of(array: Column, name: str) -> Column:
+    """A row for each element. Where there is none, one null row, which an inner join or a filter drops: a plain explode
+    would compute the array a second time, for a filter on its size."""
+    return F.explode_outer(array).alias(name)
+
+
 def found(text: Column, pattern: str, part: str = "") -> Column:
     """All leftmost non-overlapping matches, as array<struct<start,end,m>>; offsets in code points, end exclusive.
 

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import cut, found, let, of_kind, running, span_text
+from .base import cut, found, let, of_kind, rows_of, running, span_text
 
 # Kinds in the contract's order and their patterns. Runs that cannot give anything
 # back are possessive; a run is tried only where it begins or where the last match ended.
@@ -130,7 +130,7 @@ def telling(own: DataFrame, spans: DataFrame, alpha: float = ALPHA) -> DataFrame
     copies = cut(spans.groupBy("h").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1").withColumnRenamed("h", "c"))
     # Each row of a repeated text counts as a share of one, so that no pairs of text and term are shuffled.
     weighted = own.join(_few(copies), F.col("h") == F.col("c"), "left").withColumn("w", 1 / F.coalesce("copies", F.lit(1)))
-    counted = weighted.select("w", F.explode(_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.round(F.sum("w")).cast("long").alias("n_term"))
+    counted = weighted.select("w", rows_of(_terms(F.col("text")), "term")).where("term IS NOT NULL").groupBy("term").agg(F.round(F.sum("w")).cast("long").alias("n_term"))
     n_term = cut(counted.where("n_term > 1"))
     with_some = spans.where(F.size("entities") > 0)
     holds = cut(with_some.select("h", F.explode("entities").alias("entity")).distinct())
@@ -144,7 +144,7 @@ def telling(own: DataFrame, spans: DataFrame, alpha: float = ALPHA) -> DataFrame
     near = with_some.select("h", "terms").dropDuplicates(["h"]).join(asked, "h").select("es", F.explode("terms").alias("term"))
     known = near.join(F.broadcast(_common(n_term)), F.col("term") == F.col("c"), "left")
     rare = F.filter("es", lambda e: F.col("n_common").isNull() | (F.col("n_common") <= e["most"]))
-    pairs = known.select("term", F.explode(rare).alias("e")).groupBy("e.entity", "e.n_entity", "term").agg(F.count(F.lit(1)).alias("both"))
+    pairs = known.select("term", rows_of(rare, "e")).where("e IS NOT NULL").groupBy("e.entity", "e.n_entity", "term").agg(F.count(F.lit(1)).alias("both"))
     return (
         pairs.where("both > 1")
         .join(n_term, "term")
@@ -178,7 +178,7 @@ def protect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alp
         )
     )
     terms = cut(telling(own, spans, alpha).select("term").distinct())
-    told = own.select("h", F.explode(_terms(text)).alias("term")).join(_few(terms), "term", "left_semi")
+    told = own.select("h", rows_of(_terms(text), "term")).join(_few(terms), "term", "left_semi")
     marked = cut(told.groupBy("h").agg(F.collect_set("term").alias("ts")).withColumnRenamed("h", "g"))
     at = own.join(_few(marked), F.col("h") == F.col("g")).select(
         F.col("h").alias("hh"),
