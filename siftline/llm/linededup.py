@@ -65,15 +65,11 @@ def _of(text_col: str) -> Column:
 
 def later(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(key, h, starts): sorted window positions of later occurrences, for documents (id and hash of the text) that have some. Null ids come last."""
-    each = docs.select(F.col(id_col).alias("key"), _of(text_col).alias("h"), F.inline(_windows(F.coalesce(F.col(text_col), F.lit("")))))
+    each = docs.select(F.col(id_col).alias("key"), _of(text_col).alias("h"), F.inline_outer(_windows(F.coalesce(F.col(text_col), F.lit("")))))
+    each = each.where(F.col("pos").isNotNull())  # inline would compute the windows a second time, for a filter on their number
     place = F.struct(F.col("key").isNull().alias("last"), "key", "h", "pos")
-    # First places of windows that have more than one; the same place twice (a repeated row) is one.
-    firsts = (
-        each.groupBy("a", "b")
-        .agg(F.min(place).alias("first"), F.max(place).alias("last"))
-        .where(F.col("first") < F.col("last"))
-        .select("a", "b", "first")
-    )
+    # First places of windows that stand twice; where that is one place of a repeated row, no place is later.
+    firsts = each.groupBy("a", "b").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("a", "b", "first")
     again = each.join(firsts, ["a", "b"]).where(place > F.col("first"))
     return again.groupBy("key", "h").agg(F.sort_array(F.collect_set("pos")).alias("starts"))
 
