@@ -37,9 +37,9 @@ def file_ids(corpus: DataFrame) -> DataFrame:
 def lines(corpus: DataFrame, keep: list[str]) -> DataFrame:
     """(*keep, line_number, line): split at \\n alone; a text that ends in \\n has an empty last line."""
     text = text_of(F.col("content"))
-    return corpus.select(*keep, F.posexplode(F.split(text, "\n", -1)).alias("_pos", "line")).select(
-        *keep, (F.col("_pos") + 1).alias("line_number"), "line"
-    )
+    # A plain posexplode would split every text a second time, for a filter on the number of lines.
+    each = corpus.select(*keep, F.posexplode_outer(F.split(text, "\n", -1)).alias("_pos", "line"))
+    return each.where(F.col("_pos").isNotNull()).select(*keep, (F.col("_pos") + 1).alias("line_number"), "line")
 
 
 def submatches(line: Column, java: str) -> Column:
