@@ -192,6 +192,14 @@ def update(
     of the corpus, where it can be had for less; contents: makes rows of a corpus from some of the listing's.
     """
     started = time.perf_counter()
+    with storage.cuts_deleted(spark):
+        return _update(spark, root, corpus, always_hash, progress, listing, contents, started)
+
+
+def _update(
+    spark: SparkSession, root: str, corpus: DataFrame, always_hash: bool, progress: Callable[[str], None] | None,
+    listing: DataFrame | None, contents: Callable[[DataFrame], DataFrame] | None, started: float,
+) -> BuildStats:
     try:
         index = Index.open(spark, root)
     except (FileNotFoundError, CorruptIndex):

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
+import threading
 import time
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -81,12 +83,31 @@ def measure(spark: SparkSession, path: str) -> list[int]:
     return [summary.getFileCount(), summary.getLength()]
 
 
+_cuts = threading.local()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise a narrow frame in the shared folder; it survives lost executors."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(work_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    if getattr(_cuts, "made", None) is not None:
+        file = out._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+        _cuts.made += [file.get()] if file.isDefined() else []
+    return out
+
+
+@contextlib.contextmanager
+def cuts_deleted(spark: SparkSession) -> Iterator[None]:
+    """What cut() writes within, in this thread, is deleted at the end. A result must have been written by then."""
+    before, _cuts.made = getattr(_cuts, "made", None), []
+    try:
+        yield
+    finally:
+        for path in _cuts.made:
+            delete_quietly(spark, path, lambda _: None)
+        _cuts.made = before
 
 
 _work: dict[str, str] = {}

@@ -19,6 +19,11 @@ def apply_changes(root: str, changes: DataFrame) -> ix.BuildStats | None:
     the least). A row that isn't newer than what the index has, or than the removal that it remembers, changes
     nothing, whichever batch it comes in; None if no row does. Rows without a path are left out; a null time is 0.
     """
+    with storage.cuts_deleted(changes.sparkSession):
+        return _apply_changes(root, changes)
+
+
+def _apply_changes(root: str, changes: DataFrame) -> ix.BuildStats | None:
     spark, started = changes.sparkSession, time.perf_counter()
     if not storage.exists(spark, f"{root}/CURRENT"):
         empty = spark.createDataFrame([], "path string, mtime long, size long, content binary")
