@@ -8,6 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftline.sources import storage
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -27,7 +29,7 @@ def shared_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """Materialise a narrow frame in the shared folder; it survives lost executors."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return storage.cut(df)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

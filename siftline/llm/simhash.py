@@ -31,6 +31,8 @@ SEED = 42
 BLOCK_BITS, GENERATOR = 23, 0xC75
 #: Anchors' members are compared in blocks of at most so many pairs.
 PAIRS = 2_000_000
+#: With more members, an anchor's comparisons are split by the bits that no anchor has.
+DENSE = 4_096
 MAX_ROUNDS = 60
 
 _UPPER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -167,13 +169,24 @@ class Forest:
 
 def _links(fp: np.ndarray, home: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of the links at one anchor."""
-    forest, homes = Forest(len(fp)), np.flatnonzero(home)
-    u = fp.view(np.uint64)
-    step = max(1, PAIRS // len(fp))
-    for at in range(0, len(homes), step):
-        h = homes[at : at + step]
-        i, j = np.nonzero(_bits(u[h][:, None] ^ u) <= threshold)
-        forest.join(h[i], j)
+    forest, u = Forest(len(fp)), fp.view(np.uint64)
+
+    def compare(some: np.ndarray) -> None:
+        homes = some[home[some]]
+        step = max(1, PAIRS // max(len(some), 1))
+        for at in range(0, len(homes), step):
+            h = homes[at : at + step]
+            i, j = np.nonzero(_bits(u[h][:, None] ^ u[some]) <= threshold)
+            forest.join(h[i], some[j])
+
+    if len(fp) <= DENSE:
+        compare(np.arange(len(fp)))
+    else:  # of three parts of the bits that no anchor has, two turned bits leave one as it is
+        for k in range(threshold + 1):
+            part = (u >> np.uint64(2 * BLOCK_BITS + 6 * k)) & np.uint64(63)
+            order = np.argsort(part, kind="stable")
+            for some in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
+                compare(some)
     k = np.flatnonzero(forest.root != np.arange(len(fp)))
     return fp[k], fp[forest.root[k]]
 

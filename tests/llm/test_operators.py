@@ -303,7 +303,21 @@ def test_anchors_lose_no_link():
     i, j = np.nonzero(np.bitwise_count(u[:, None] ^ u) <= 2)
     whole.join(i, j)
     assert (forest.root == whole.root).all()
-    assert all(np.bitwise_count(np.uint64(x) ^ np.uint64(y)) <= 64 for x, y in [(0, 1)])
+
+
+def test_a_dense_anchor_loses_no_link(monkeypatch):
+    rng = np.random.default_rng(6)
+    centre = rng.integers(0, 1 << 46, dtype=np.int64)
+    fp = np.unique(centre ^ (rng.integers(0, 1 << 18, 5000, dtype=np.int64) << np.int64(46)) ^ (np.int64(1) << rng.integers(0, 46, 5000, dtype=np.int64)))
+    key, row, home = simhash.replicas(fp)
+    order = np.argsort(key, kind="stable")
+    forests = []
+    for dense in (1 << 40, 16):
+        monkeypatch.setattr(simhash, "DENSE", dense)
+        a, b = simhash._many(key[order], fp[row[order]], home[order], 2)
+        forests.append(simhash.Forest(len(fp)))
+        forests[-1].join(np.searchsorted(fp, a), np.searchsorted(fp, b))
+    assert (forests[0].root == forests[1].root).all() and len(np.unique(forests[0].root)) < len(fp)
 
 
 def test_components(spark):
