@@ -86,13 +86,6 @@ def _grams(corpus: DataFrame) -> DataFrame:
     return made.select(file_id(F.col("path")).alias("file_id"), *keep, "grams", F.lit(False).alias("reused"))
 
 
-def _spread(spark: SparkSession, corpus: DataFrame) -> DataFrame:
-    files, cores = corpus.inputFiles(), spark.sparkContext.defaultParallelism
-    if 0 < len(files) < cores and sum(storage.size_of(spark, f) for f in files) < cores * SPREAD_BYTES:
-        return corpus.repartition(2 * cores)
-    return corpus
-
-
 def _few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_PATHS else df
 
@@ -172,7 +165,7 @@ def _whole(spark: SparkSession, root: str, rows: DataFrame, started: float, tell
 
 def build(spark: SparkSession, root: str, corpus: DataFrame, progress: Callable[[str], None] | None = None) -> BuildStats:
     """Index a corpus(path, mtime, size, content) from nothing. Rows that share a path are one file."""
-    return _whole(spark, root, _grams(_spread(spark, corpus)), time.perf_counter(), progress or (lambda _: None))
+    return _whole(spark, root, _grams(storage.spread(corpus, SPREAD_BYTES)), time.perf_counter(), progress or (lambda _: None))
 
 
 def update(

@@ -83,6 +83,15 @@ def measure(spark: SparkSession, path: str) -> list[int]:
     return [summary.getFileCount(), summary.getLength()]
 
 
+def spread(df: DataFrame, bytes_per_core: int) -> DataFrame:
+    """Rows read from fewer files than there are cores, and less than so much for each, dealt over all cores; else as they are."""
+    spark = df.sparkSession
+    files, cores = df.inputFiles(), spark.sparkContext.defaultParallelism
+    if 0 < len(files) < cores and sum(size_of(spark, f) for f in files) < cores * bytes_per_core:
+        return df.repartition(2 * cores)
+    return df
+
+
 _cuts = threading.local()
 
 

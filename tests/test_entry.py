@@ -15,3 +15,9 @@ def test_engine_queries_need_no_optional_package():
     engine = names("siftline.llm", "corpus_pipeline")
     assert len(engine) >= 45 and "regex_lines_literal" in engine and not [n for n in engine if n.startswith("op") or n == "pipeline"]
     assert names("ahocorasick", "tokenizers", "xxhash") == engine
+
+
+def test_the_package_offers_its_interface():
+    import siftline
+
+    assert all(hasattr(siftline, name) for name in siftline.__all__) and callable(siftline.search) and siftline.Index.open
