@@ -11,8 +11,12 @@ from pyspark.sql import functions as F
 from siftline.sources import storage
 
 
+#: A table of fewer files than cores and less than so much for each core is dealt over all of them: one row group is one task.
+SPREAD_BYTES = 4 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return storage.spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"), SPREAD_BYTES)
 
 
 def shared_dir(spark: SparkSession) -> str:
