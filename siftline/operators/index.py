@@ -19,8 +19,10 @@ import json
 import time
 from collections.abc import Callable
 from dataclasses import asdict, dataclass
-from functools import cached_property, partial
+from functools import cached_property, partial, reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +39,8 @@ SCAN_SHARE = 0.6
 BROADCAST_IDS = 4_000_000
 #: Up to so many postings, as counted before they are read, are intersected by the driver instead, without a shuffle.
 DRIVER_POSTINGS = 50_000
+#: Up to so many candidates stand in the filter itself; more are broadcast as a table.
+LISTED_IDS = 200
 #: In an index of so many files, candidates that the driver knows are also looked up by the corpus's own key, so that its row groups can be left out.
 KEYED_FILES, KEYED_IDS = 1_000_000, 1_000
 #: The rarest grams of a branch that are looked up. Any of them would do; further ones only narrow.
@@ -374,7 +378,7 @@ class Index:
         n = self.frequencies(plan) if frequency is None else frequency
         return min(sum(min(n.get(g, 0) for g in branch.grams) for branch in side) for side in plan.sides)
 
-    def _few_candidates(self, plan: QueryPlan, n: dict[int, int]) -> list[int] | None:
+    def _few_candidates(self, plan: QueryPlan, n: dict[int, int]) -> np.ndarray | None:
         """The candidates, intersected by the driver, if that takes few postings; else None."""
         sides = []
         for side in plan.sides:
@@ -385,6 +389,8 @@ class Index:
                     used = [g for k, g in enumerate(rarest) if k == 0 or n[g] <= 4 * n[rarest[0]]]
                     branches.append(used)
                     cost += sum(n[g] for g in used)
+            if not branches:
+                return np.zeros(0, np.int64)
             sides.append((cost, branches))
         sides.sort(key=lambda s: s[0])
         # The cheaper side bounds the candidates; the other one is looked up, too, where that is cheap.
@@ -392,14 +398,11 @@ class Index:
         grams = {g for branches in taken for b in branches for g in b}
         if sum(n[g] for g in grams) > DRIVER_POSTINGS:
             return None
-        held: dict[int, set[int]] = {g: set() for g in grams}
-        for gram, id_ in self.postings().where(F.col("gram").isin(sorted(grams))).collect() if grams else ():
-            held[gram].add(id_)
-        out: set[int] | None = None
-        for branches in taken:
-            own = set().union(*(set.intersection(*(held[g] for g in b)) for b in branches))
-            out = own if out is None else out & own
-        return sorted(out or ())
+        few = self.postings().where(F.col("gram").isin(sorted(grams))).toArrow()
+        gram, ids = (few.column(c).to_numpy() for c in ("gram", "file_id"))
+        held = {g: np.unique(ids[gram == g]) for g in grams}
+        each = [reduce(np.union1d, (reduce(np.intersect1d, (held[g] for g in b)) for b in branches)) for branches in taken]
+        return reduce(np.intersect1d, each)
 
     def candidates(self, plan: QueryPlan, frequency: dict[int, int] | None = None) -> DataFrame | None:
         """(file_id) of files that may match; None: any may. A file is there if each constrained side has a branch all of whose grams looked up it has."""
@@ -420,12 +423,12 @@ class Index:
         whole = held.where(F.col("have") == F.col("n"))
         return whole.groupBy("file_id").agg(F.count_distinct("side").alias("sides")).where(F.col("sides") == len(sides)).select("file_id")
 
-    def _by_key(self, corpus: DataFrame, ids: list[int]) -> DataFrame:
+    def _by_key(self, corpus: DataFrame, ids: np.ndarray) -> DataFrame:
         """The corpus without row groups that its key rules out, where it has one key and that is a whole number."""
         keys = [f for f in corpus.schema if f.name.startswith("key_")]
         if self.file_count() < KEYED_FILES or len(ids) > KEYED_IDS or len(keys) != 1 or keys[0].dataType.simpleString() not in ("int", "bigint", "smallint", "tinyint"):
             return corpus
-        paths = [r["path"] for r in self.files().where(F.col("file_id").isin(ids)).select("path").collect()]
+        paths = [r["path"] for r in self.files().where(F.col("file_id").isin(ids.tolist())).select("path").collect()]
         named = [int(p) for p in paths if p]
         key = F.col(keys[0].name)
         return corpus.where(key.isin(named) | key.isNull() if "" in paths else key.isin(named))
@@ -444,9 +447,12 @@ class Index:
         if ids is not None:
             corpus = self._by_key(corpus, ids) if path is None else corpus
         named = corpus.withColumn("_file_id", file_id(F.col("path") if path is None else path))
+        if ids is not None and len(ids) <= LISTED_IDS:
+            return named.where(F.col("_file_id").isin(ids.tolist())).drop("_file_id")
         if ids is not None:
-            return named.where(F.col("_file_id").isin(ids)).drop("_file_id")
-        found = self.candidates(plan, frequency).withColumnRenamed("file_id", "_file_id")
+            found = self.spark.createDataFrame(pa.table({"_file_id": ids}))
+        else:
+            found = self.candidates(plan, frequency).withColumnRenamed("file_id", "_file_id")
         return named.join(F.broadcast(found), "_file_id", "left_semi").drop("_file_id")
 
 
