@@ -115,8 +115,9 @@ def contained(
     sketch = cut(sketches(items, threshold))
     parts = cut(items.select("item", "own_item", _sized(_shingles(F.col("text")), "n_item")).where(F.col("shingle").isNotNull()))
     few = sketch.count() <= BROADCAST_ROWS and parts.count() <= BROADCAST_ROWS
-    # n counts repeated shingles, too: it is no less than the document's size.
-    each = own.select("id", "h", _sized(_hashes(F.col("text")), "n"))
+    # A text has no more words, and shingles, than half its bytes and a half: n is no less than the document's size.
+    n = F.floor((F.octet_length("text") + 1) / 2).alias("n")
+    each = own.select("id", "h", n, rows_of(_hashes(F.col("text")), "shingle"))
     met = _meet(each, sketch, "shingle", few).where(F.col("n") >= F.col("least")).select("id", "h", "item", "need", "shingle").distinct()
     hits = met.groupBy("id", "h", "item", "need").agg(F.count(F.lit(1)).alias("hit")).where(F.col("hit") >= F.col("need"))
     keys = cut(hits.select(F.col("id").alias("i"), F.col("h").alias("hh")).distinct())
