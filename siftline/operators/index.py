@@ -43,6 +43,8 @@ DRIVER_POSTINGS = 50_000
 LISTED_IDS = 200
 #: In an index of so many files, candidates that the driver knows are also looked up by the corpus's own key, so that its row groups can be left out.
 KEYED_FILES, KEYED_IDS = 1_000_000, 1_000
+#: Counts of so many grams (16 bytes each) are kept by the driver of an open index; those of larger ones are looked up.
+HELD_GRAMS = 2_000_000
 #: The rarest grams of a branch that are looked up. Any of them would do; further ones only narrow.
 GRAMS_PER_BRANCH = 8
 #: Changed paths and dead files that are broadcast at most (a path each); more of them are joined by a shuffle.
@@ -313,6 +315,14 @@ class Index:
     def _postings(self) -> DataFrame:
         return self._live("postings").select("gram", "file_id")
 
+    @cached_property
+    def _held_counts(self) -> tuple[np.ndarray, np.ndarray]:
+        """The counts of all segments by gram."""
+        rows = self._counts.toArrow()
+        gram, n = (rows.column(c).to_numpy() for c in ("gram", "n"))
+        order = np.argsort(gram, kind="stable")
+        return gram[order], n[order]
+
     @cached_property
     def _counts(self) -> DataFrame:
         return _read(self.spark, TABLES["counts"], *self._segments("counts"))
@@ -366,10 +376,14 @@ class Index:
     def frequencies(self, plan: QueryPlan) -> dict[int, int]:
         """Files of each gram of a plan, dead ones included; grams that the index lacks are left out. A plan's grams are bounded by its limits."""
         grams = sorted({g for side in plan.sides for branch in side for g in branch.grams})
-        out: dict[int, int] = {}
-        for r in self._counts.where(F.col("gram").isin(grams)).collect() if grams else ():
-            out[r["gram"]] = out.get(r["gram"], 0) + r["n"]
-        return out
+        if not grams:
+            return {}
+        if sum(s["ngrams"] for s in self.manifest["segments"]) <= HELD_GRAMS:
+            held, n = self._held_counts
+            each = ((g, int(n[np.searchsorted(held, g) : np.searchsorted(held, g, "right")].sum())) for g in grams)
+            return {g: k for g, k in each if k}
+        found = self._counts.where(F.col("gram").isin(grams)).groupBy("gram").agg(F.sum("n").alias("n"))
+        return {r["gram"]: r["n"] for r in found.collect()}
 
     def bound(self, plan: QueryPlan, frequency: dict[int, int] | None = None) -> int:
         """No more candidates than this: the rarest gram of each branch bounds it, and the better side the plan."""

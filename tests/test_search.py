@@ -282,7 +282,7 @@ def test_looked_up_by_key_and_by_shuffle(spark, tmp_path, monkeypatch):
     corpus, root = table_corpus(df, ["id"], "t"), str(tmp_path / "ix")
     ix.build(spark, root, corpus)
     index = ix.Index.open(spark, root)
-    for name, value in (("KEYED_FILES", 0), ("KEYED_IDS", 0), ("LISTED_IDS", 3), ("DRIVER_POSTINGS", 0)):
+    for name, value in (("KEYED_FILES", 0), ("KEYED_IDS", 0), ("LISTED_IDS", 3), ("HELD_GRAMS", 0), ("DRIVER_POSTINGS", 0)):
         monkeypatch.setattr(ix, name, value)
         for pattern in ("needle", "needle|word3", "text1.*hay", "text29[0-9] hay", "zzzzzz", "word6.*needle"):
             assert rows_of(ix.search(index, corpus, pattern, scan_share=2.0)) == rows_of(op.brute(corpus, pattern)), (name, pattern)
