@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftline.plans.planner import QueryPlan, decompose
 from siftline.sources.tree import text_of
 
+#: Ranges of paths that are numbered at once at most, rows in each, and paths in the sample that bounds them, about.
+RANGES, RANGE_ROWS, RANGE_SAMPLE = 256, 10_000, 20_000
 #: Marks around matches; a line that has the first pair gets the second.
 MARKS = (("﷐", "﷑"), ("﷒", "﷓"))
 
@@ -19,19 +21,31 @@ def file_id(path: Column) -> Column:
 
 
 def file_ids(corpus: DataFrame) -> DataFrame:
-    """The corpus with a dense file_id from 0 in the order of path.
+    """The corpus with a dense file_id from 0 in the order of path, null paths last.
 
-    Range partitions are numbered by their sizes; no task sees all rows.
+    Ranges have fixed bounds, so that they hold the same rows when they are counted and when they are numbered; no task sees all rows.
     """
-    ordered = corpus.repartitionByRange("path").sortWithinPartitions("path").withColumn("_part", F.spark_partition_id())
-    counts = {r["_part"]: r["n"] for r in ordered.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect()}
+    spark = corpus.sparkSession
+    paths = corpus.select("path").where(F.col("path").isNotNull())
+    n = paths.count()
+    some = paths.where(F.pmod(F.xxhash64("path"), F.lit(n // RANGE_SAMPLE + 1)) == 0).distinct()
+    sample = sorted((r["path"] for r in some.collect()), key=str.encode)
+    k = min(RANGES, n // RANGE_ROWS + 1, len(sample) + 1)
+    bounds = [sample[i * len(sample) // k] for i in range(1, k)]
+
+    def part(low: int, high: int) -> Column:
+        """How many bounds aren't beyond path, which is low to high."""
+        mid = (low + high) // 2
+        return F.lit(low) if low == high else F.when(F.col("path") < bounds[mid], part(low, mid)).otherwise(part(mid + 1, high))
+
+    ranged = corpus.withColumn("_part", F.when(F.col("path").isNull(), len(bounds) + 1).otherwise(part(0, len(bounds))))
     offsets, at = [], 0
-    for part in sorted(counts):
-        offsets.append((part, at))
-        at += counts[part]
-    offset = corpus.sparkSession.createDataFrame(offsets, "_part int, _offset long")  # a row for each partition
-    within = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    return ordered.withColumn("_nth", within).join(F.broadcast(offset), "_part").withColumn("file_id", F.col("_offset") + F.col("_nth")).drop("_part", "_nth", "_offset")
+    for r in sorted(ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect()):
+        offsets.append((r["_part"], at))
+        at += r["n"]
+    offset = spark.createDataFrame(offsets, "_part int, _offset long")  # a row for each range
+    nth = F.row_number().over(Window.partitionBy("_part").orderBy("path")).cast("long")
+    return ranged.withColumn("_nth", nth).join(F.broadcast(offset), "_part").withColumn("file_id", F.col("_offset") + F.col("_nth") - 1).drop("_part", "_nth", "_offset")
 
 
 def lines(corpus: DataFrame, keep: list[str]) -> DataFrame:

@@ -321,3 +321,19 @@ def test_late_rows_of_a_stream(spark, tmp_path):
     assert {p for p, _, _ in state()} == {"a", "b"} and ix.Index.open(spark, root).postings().count() == ix.Index.open(spark, root).posting_count()
     final = table_corpus(spark.createDataFrame([("a", "back"), ("c", "c's text")], "id string, t string"), ["id"], "t")
     assert ix.update(spark, root, final).files == 2 and {p for p, _, _ in state()} == {"a", "c"}
+
+
+def test_dense_ids_of_many_paths(spark, tmp_path):
+    """Ranges hold the same rows when they are counted and when they are numbered; null ids have a null path and come last."""
+    from siftline.plans import queries
+
+    ids = [None, None, *((i * 7919) % 200_003 - 1000 for i in range(120_000)), 5, 5]
+    spark.createDataFrame([(i, "") for i in ids], "doc_id long, text string").repartition(7).write.parquet(str(tmp_path / "documents.parquet"))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "23")
+    try:
+        got = sorted((r["file_id"], r["path"]) for r in queries.QUERIES["dense_file_ids"](spark, str(tmp_path)).collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got == list(enumerate([*sorted(str(i) for i in ids if i is not None), None, None]))
+    assert op.file_ids(spark.createDataFrame([], "path string, x int")).count() == 0
