@@ -8,6 +8,7 @@ and literals are folded (ASCII) before, since weights depend on case.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -94,11 +95,143 @@ def covering(literal: bytes, longest: int = LONGEST) -> list[bytes]:
     return out
 
 
-def grams_of_batches(batches: Iterator[pa.RecordBatch], content: str, keep: list[str]) -> Iterator[pa.RecordBatch]:
-    """For mapInArrow: the kept columns and each content's gram hashes."""
+#: Postings of a chunk, about, and of the range of grams that is sorted at once.
+CHUNK, SORTED = 16_000_000, 1_000_000
+#: Rows of a chunk: one for each row of a corpus (nth: its file's place in the chunk), then one for each gram (ids: places of n files).
+CHUNK_SCHEMA = "chunk long, nth int, file_id long, path string, mtime long, size long, content_hash string, n_grams int, reused boolean, gram long, n int, ids binary"
+_TYPES = (pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.bool_(), pa.int64(), pa.int32(), pa.binary())
+_NAMES = [c.split()[0] for c in CHUNK_SCHEMA.split(", ")]
+
+
+def _batch(n: int, columns: dict[str, pa.Array]) -> pa.RecordBatch:
+    return pa.record_batch([columns[c].cast(t) if c in columns else pa.nulls(n, t) for c, t in zip(_NAMES, _TYPES, strict=True)], _NAMES)
+
+
+def encoded(places: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, where each list begins and the last ends) of lists of ascending places, one after the other; first: where lists begin.
+
+    A place is its distance from the one before, seven bits a byte, the lowest first, the last byte without the top bit.
+    """
+    d = np.diff(places, prepend=0)
+    d[first] = places[first]
+    size = np.ones(len(d), np.int64)
+    for k in range(1, 5):
+        size += d >= 1 << 7 * k
+    at = np.cumsum(size) - size
+    total = int(at[-1] + size[-1]) if len(d) else 0
+    out = np.empty(total, np.uint8)
+    for k in range(int(size.max(initial=1))):
+        more = np.flatnonzero(size > k) if k else slice(None)
+        out[at[more] + k] = (d[more] >> 7 * k & 127) | np.where(size[more] > k + 1, 128, 0)
+    return out, np.append(at[first], total)
+
+
+def decoded(ids: pa.Array, n: np.ndarray) -> np.ndarray:
+    """The places of all rows, one after the other."""
+    ids = ids.cast(pa.binary())
+    offsets = np.frombuffer(ids.buffers()[1], np.int32)[ids.offset : ids.offset + len(ids) + 1]
+    b = np.frombuffer(ids.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    end = np.flatnonzero(b < 128)
+    start = np.append(0, end[:-1] + 1)[: len(end)]
+    d = (b[start] & 127).astype(np.int64)
+    for k in range(1, int((end - start).max(initial=0)) + 1):
+        more = np.flatnonzero(end - start >= k)
+        d[more] |= (b[start[more] + k].astype(np.int64) & 127) << 7 * k
+    first = np.cumsum(n) - n
+    total = np.cumsum(d)
+    return total - np.repeat(total[first] - d[first], n)
+
+
+def places_of_batches(batches: Iterator[pa.RecordBatch], wanted: dict[int, np.ndarray] | None = None, most: int = 1 << 18) -> Iterator[pa.RecordBatch]:
+    """For mapInArrow: (chunk, nth, gram) of rows (chunk, gram, n, ids); wanted: the places asked for in each chunk, else all."""
     for batch in batches:
-        each = [gram_hashes(fold(x)) if x is not None else np.zeros(0, np.int64) for x in batch.column(content).cast(pa.binary()).to_pylist()]
-        ends = np.cumsum([0, *map(len, each)])
-        flat = np.concatenate(each) if each else np.zeros(0, np.int64)
-        grams = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64()))
-        yield pa.record_batch([*(batch.column(c) for c in keep), grams], [*keep, "grams"])
+        ends = np.cumsum(batch.column("n").to_numpy())
+        at = 0
+        while at < batch.num_rows:  # no more than about `most` rows at once, or one list
+            upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+            some = batch.slice(at, upto - at)
+            at = upto
+            n = some.column("n").to_numpy().astype(np.int64)
+            nth = decoded(some.column("ids"), n)
+            chunk, gram = (np.repeat(some.column(c).to_numpy(), n) for c in ("chunk", "gram"))
+            if wanted is not None:
+                kept = np.zeros(len(nth), bool)
+                for c in np.unique(chunk):
+                    kept[chunk == c] = np.isin(nth[chunk == c], wanted.get(int(c), ()))
+                chunk, nth, gram = chunk[kept], nth[kept], gram[kept]
+            yield pa.record_batch([pa.array(chunk), pa.array(nth, pa.int32()), pa.array(gram)], ["chunk", "nth", "gram"])
+
+
+def grams_without(rows: pa.Table, dead: np.ndarray) -> pa.Table:
+    """A chunk's rows (chunk, gram, n, ids) without the places in dead, by gram."""
+    rows = rows.take(pa.array(np.argsort(rows.column("gram").to_numpy()))).combine_chunks()
+    n = rows.column("n").to_numpy().astype(np.int64)
+    ids = rows.column("ids").combine_chunks()
+    nth = decoded(ids.chunk(0) if isinstance(ids, pa.ChunkedArray) else ids, n) if len(n) else np.zeros(0, np.int64)
+    live = ~np.isin(nth, dead)
+    left = np.bincount(np.repeat(np.arange(len(n)), n)[live], minlength=len(n))
+    rows, nth, left = rows.filter(pa.array(left > 0)), nth[live], left[left > 0]
+    data, offsets = encoded(nth, np.cumsum(left) - left)
+    return pa.table({"chunk": rows.column("chunk"), "gram": rows.column("gram"), "n": pa.array(left, pa.int32()), "ids": _lists(data, offsets)})
+
+
+def _lists(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data)])
+
+
+def _gram_rows(chunk: int, files: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """The rows of each gram of a chunk, in order. files: each one's grams, as gram_hashes() gives them."""
+    parts = sum(map(len, files)) // SORTED + 1
+    edges = np.array([(k << 64) // parts - (1 << 63) for k in range(1, parts)], np.int64)
+    signed = []
+    for g in files:  # unsigned order; as signed longs, the upper half comes first
+        middle = np.searchsorted(g.view(np.uint64), np.uint64(1 << 63))
+        signed.append(np.concatenate([g[middle:], g[:middle]]))
+    cuts = np.array([np.concatenate([[0], np.searchsorted(g, edges), [len(g)]]) for g in signed], np.int64).reshape(-1, parts + 1)
+    for k in range(parts):
+        lens = cuts[:, k + 1] - cuts[:, k]
+        if not lens.any():
+            continue
+        gram = np.concatenate([g[a:b] for g, a, b in zip(signed, cuts[:, k], cuts[:, k + 1], strict=True)])
+        order = np.argsort(gram)
+        gram, place = gram[order], np.repeat(np.arange(len(files)), lens)[order]
+        new = np.append(True, gram[1:] != gram[:-1])
+        place = np.sort((np.cumsum(new) << 32) | place) & 0xFFFFFFFF  # ascending within each gram
+        first = np.flatnonzero(new)
+        data, offsets = encoded(place, first)
+        n = np.diff(np.append(first, len(gram)))
+        yield _batch(len(first), {"chunk": pa.array(np.full(len(first), chunk)), "gram": pa.array(gram[first]), "n": pa.array(n), "ids": _lists(data, offsets)})
+
+
+def chunks_of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For mapInArrow: chunks of rows (file_id, path, mtime, size, content_hash, reused, content). Neighbours of one path are one file."""
+    keep = ["file_id", "path", "mtime", "size", "content_hash", "reused"]
+    chunk, files, held, last = uuid.uuid4().int >> 65, [], 0, None
+    for batch in batches:
+        contents, paths = batch.column("content").cast(pa.binary()), batch.column("path").to_pylist()
+        at, nth, counts = 0, [], []
+
+        def rows(batch=batch, nth=nth, counts=counts):
+            of = batch.slice(at, len(nth))
+            return _batch(len(nth), {c: of.column(c) for c in keep} | {"chunk": pa.array(np.full(len(nth), chunk)), "nth": pa.array(nth, pa.int32()), "n_grams": pa.array(counts, pa.int32())})
+
+        for content, path in zip(contents, paths, strict=True):
+            if held >= CHUNK and path != last:
+                if nth:
+                    yield rows()
+                yield from _gram_rows(chunk, files)
+                at += len(nth)
+                nth.clear()
+                counts.clear()
+                chunk, files, held = uuid.uuid4().int >> 65, [], 0
+            grams = gram_hashes(fold(content.as_py())) if content.is_valid else np.zeros(0, np.int64)
+            if files and path == last:
+                files[-1] = np.unique(np.concatenate([files[-1], grams]).view(np.uint64)).view(np.int64)
+            else:
+                files.append(grams)
+            nth.append(len(files) - 1)
+            counts.append(len(grams))
+            held, last = held + len(grams), path
+        if nth:
+            yield rows()
+    yield from _gram_rows(chunk, files)

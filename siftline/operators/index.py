@@ -4,20 +4,23 @@
   dead         segment, file_id        files of a segment that changed or went later
   dead_counts  gram, n                 how many of a gram's postings are dead
 segments/s<N>/ holds
-  grams     file_id, path, mtime, size, content_hash, grams   one row for each row of the corpus
+  grams     file_id, path, mtime, size, content_hash, n_grams, chunk, nth   one row for each row of the corpus
   files     file_id, path, mtime, size                        one row for each path, sorted by file_id
-  postings  gram, file_id                                     sorted by both, so that row groups are ranges
-  counts    gram, n                                           files of each gram, sorted
+  postings  chunk, gram, n, ids                               one row for each gram of a chunk, by gram; the chunk's files stand there, too
+  counts    gram, n                                           files of each gram, sorted in each of some ranges
+A chunk is some files that one task indexed, with the places in it (nth, coded as distances) of the files that have a gram.
+So no posting is shuffled, and one takes about two bytes; a lookup reads the pages of each chunk that can have the gram.
 An update writes a segment of what changed; when there are many segments or many dead files, all live rows
-become one segment. Postings are rows, not arrays: a gram that all files have is spread over many row groups
-and tasks. Rows of the corpus that share a path are one file, which has the grams of all of them.
+become one segment. Chunks are bounded, so that a gram that all files have is spread over many of them. Rows of the
+corpus that share a path are one file, which has the grams of all of them.
 """
 
 from __future__ import annotations
 
+import contextlib
 import json
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass
 from functools import cached_property, partial, reduce
 
@@ -26,13 +29,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.functions.ngrams import grams_of_batches
+from siftline.functions import ngrams
 from siftline.plans.planner import QueryPlan, decompose
 from siftline.sources import storage
 
 from .search import file_id, verify
 
-FORMAT = 2
+FORMAT = 3
 #: With more candidates than this share of the files, postings aren't worth the join; the corpus is scanned.
 SCAN_SHARE = 0.6
 #: Candidates are broadcast, up to so many (8 bytes each); texts are never shuffled to meet them. With more, the corpus is scanned.
@@ -54,10 +57,17 @@ MOST_SEGMENTS, MOST_DEAD = 8, 0.3
 #: A corpus of fewer and smaller input files than this for each core is spread over all cores to be indexed.
 SPREAD_BYTES = 32 << 20
 
+#: Counts are summed by ranges of grams, one after the other, of about so many postings each, and so many ranges at most.
+COUNTED, COUNT_RANGES = 64_000_000, 16
+#: Files whose places in chunks are broadcast at most (24 bytes each).
+BROADCAST_PLACES = 1_000_000
+#: Hashes in order are distances of few bits: no dictionaries, but pages that code such.
+CODED = {"parquet.writer.version": "PARQUET_2_0", "parquet.enable.dictionary": "false", "compression": "zstd"}
+
 TABLES = {
-    "grams": "file_id long, path string, mtime long, size long, content_hash string, grams array<bigint>",
+    "grams": "file_id long, path string, mtime long, size long, content_hash string, n_grams int, chunk long, nth int",
     "files": "file_id long, path string, mtime long, size long",
-    "postings": "gram long, file_id long",
+    "postings": "chunk long, gram long, n int, ids binary",
     "counts": "gram long, n long",
 }
 DEAD, DEAD_COUNTS = "segment string, file_id long", "gram long, n long"
@@ -84,12 +94,30 @@ def _hash(content: Column) -> Column:
     return F.sha2(content.cast("binary"), 256)
 
 
-def _grams(corpus: DataFrame) -> DataFrame:
-    """The rows of the grams table and reused = false."""
-    keep = ["path", "mtime", "size", "content_hash"]
-    own = corpus.select("path", "mtime", "size", _hash(F.col("content")).alias("content_hash"), F.col("content").cast("binary").alias("content"))
-    made = own.mapInArrow(partial(grams_of_batches, content="content", keep=keep), "path string, mtime long, size long, content_hash string, grams array<bigint>")
-    return made.select(file_id(F.col("path")).alias("file_id"), *keep, "grams", F.lit(False).alias("reused"))
+def _chunks(corpus: DataFrame) -> DataFrame:
+    """Rows of CHUNK_SCHEMA. corpus may have reused and content_hash."""
+    reused = F.col("reused") if "reused" in corpus.columns else F.lit(False).alias("reused")
+    keep = [file_id(F.col("path")).alias("file_id"), "path", "mtime", "size", _hash(F.col("content")).alias("content_hash"), reused]
+    return corpus.select(*keep, F.col("content").cast("binary").alias("content")).mapInArrow(ngrams.chunks_of_batches, ngrams.CHUNK_SCHEMA)
+
+
+def _together(corpus: DataFrame, repeated: DataFrame) -> DataFrame:
+    """The corpus with the rows of each repeated path beside each other."""
+    paths = _few(repeated)
+    more = corpus.join(paths, "path", "left_semi").repartition("path").sortWithinPartitions("path")
+    return corpus.join(paths, "path", "left_anti").unionByName(more)
+
+
+@contextlib.contextmanager
+def _shuffles_deleted(spark: SparkSession) -> Iterator[None]:
+    """What a query shuffles within is deleted at its end, not when the driver collects garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
 def _few(df: DataFrame) -> DataFrame:
@@ -107,26 +135,42 @@ def _sorted(df: DataFrame, *by: str) -> DataFrame:
     return df.repartitionByRange(*by).sortWithinPartitions(*by)
 
 
-def _write_segment(spark: SparkSession, root: str, name: str, rows: DataFrame, tell: Callable[[str], None]) -> dict:
-    """Write a segment from rows of the grams table and reused; what the manifest says of it."""
-    at = f"{root}/segments/{name}"
-    tell(f"writing grams to {at}")
-    rows.write.parquet(f"{at}/grams")
-    kept = spark.read.parquet(f"{at}/grams")
-    live = kept.where(F.col("size") != REMOVED)
-    n_rows, read = live.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.when(~F.col("reused"), F.col("size"))), F.lit(0))).first()
-    paths = live.groupBy("file_id", "path").agg(F.max("mtime").alias("mtime"), F.sum("size").alias("size"), F.min("reused").alias("reused"))
-    _sorted(paths, "file_id").write.parquet(f"{at}/files")
-    files, reused = spark.read.parquet(f"{at}/files").agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("reused").cast("long")), F.lit(0))).first()
-    tell("writing postings")
-    postings = live.select(F.explode("grams").alias("gram"), "file_id")
-    postings = postings if n_rows == files else postings.distinct()
-    _sorted(postings, "gram", "file_id").write.option("parquet.block.size", 32 << 20).parquet(f"{at}/postings")
-    per_gram = _read(spark, TABLES["postings"], f"{at}/postings").groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-    _sorted(per_gram, "gram").write.parquet(f"{at}/counts")
-    ngrams, n_postings = spark.read.parquet(f"{at}/counts").agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    tables = {t: storage.measure(spark, f"{at}/{t}") for t in TABLES}
-    return {"name": name, "files": files, "reused": reused, "read": read, "ngrams": ngrams, "postings": n_postings, "tables": tables}
+def _write_segment(
+    spark: SparkSession, root: str, name: str, corpus: DataFrame | None, tell: Callable[[str], None], kept: DataFrame | None = None, removed: DataFrame | None = None
+) -> dict:
+    """Write a segment of a corpus, rows of CHUNK_SCHEMA that are kept, and removed paths (rows of the grams table); what the manifest says of it."""
+    with _shuffles_deleted(spark):
+        at = f"{root}/segments/{name}"
+        tell(f"writing postings to {at}")
+
+        def write(rows: DataFrame | None) -> DataFrame:
+            rows = kept if rows is None else rows if kept is None else rows.unionByName(kept)
+            storage.delete(spark, f"{at}/postings")
+            rows.write.options(**CODED).option("parquet.block.size", 32 << 20).parquet(f"{at}/postings")
+            return spark.read.schema(ngrams.CHUNK_SCHEMA).parquet(f"{at}/postings").where("nth IS NOT NULL")
+
+        rows = write(None if corpus is None else _chunks(corpus))
+        if corpus is not None:
+            repeated = storage.cut(rows.groupBy("path").agg(F.count_distinct("chunk", "nth").alias("n")).where("n > 1").select("path"))
+            if not repeated.isEmpty():
+                rows = write(_chunks(_together(corpus, repeated)))
+        tell("writing files")
+        held = rows.select(*[c.split()[0] for c in TABLES["grams"].split(", ")], "reused")
+        (held if removed is None else held.unionByName(removed.select(held.columns))).write.parquet(f"{at}/grams")
+        live = spark.read.parquet(f"{at}/grams").where(F.col("size") != REMOVED)
+        read, most = live.agg(F.coalesce(F.sum(F.when(~F.col("reused"), F.col("size"))), F.lit(0)), F.coalesce(F.sum("n_grams"), F.lit(0))).first()
+        paths = live.groupBy("file_id", "path").agg(F.max("mtime").alias("mtime"), F.sum("size").alias("size"), F.min("reused").alias("reused"))
+        _sorted(paths, "file_id").write.parquet(f"{at}/files")
+        files, reused = spark.read.parquet(f"{at}/files").agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("reused").cast("long")), F.lit(0))).first()
+        tell("counting")
+        each, k = _read(spark, TABLES["postings"], f"{at}/postings"), min(COUNT_RANGES, most // COUNTED + 1)
+        for i in range(k):
+            low, high = ((j << 64) // k - (1 << 63) for j in (i, i + 1))
+            some = each.where(F.col("gram").between(low, high - 1)).groupBy("gram").agg(F.sum("n").cast("long").alias("n"))
+            some.sortWithinPartitions("gram").write.mode("append").options(**CODED).parquet(f"{at}/counts")
+        ngrams_, n_postings = spark.read.parquet(f"{at}/counts").agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+        tables = {t: storage.measure(spark, f"{at}/{t}") for t in TABLES}
+        return {"name": name, "files": files, "reused": reused, "read": read, "ngrams": ngrams_, "postings": n_postings, "tables": tables}
 
 
 def _names(spark: SparkSession, root: str) -> tuple[str, str]:
@@ -159,10 +203,10 @@ def _current(spark: SparkSession, root: str) -> str | None:
     return name if name.startswith("v") and name[1:].isdigit() else None
 
 
-def _whole(spark: SparkSession, root: str, rows: DataFrame, started: float, tell: Callable[[str], None]) -> BuildStats:
+def _whole(spark: SparkSession, root: str, corpus: DataFrame, started: float, tell: Callable[[str], None], **more: DataFrame | None) -> BuildStats:
     """Publish a version of one segment."""
     version, name = _names(spark, root)
-    s = _write_segment(spark, root, name, rows, tell)
+    s = _write_segment(spark, root, name, corpus, tell, **more)
     size = sum(t[1] for t in s["tables"].values())
     stats = BuildStats(s["files"], s["read"], s["ngrams"], s["postings"], size, s["reused"], time.perf_counter() - started)
     _publish(spark, root, version, asdict(stats) | {"segments": [s], "dead": 0}, tell)
@@ -171,7 +215,8 @@ def _whole(spark: SparkSession, root: str, rows: DataFrame, started: float, tell
 
 def build(spark: SparkSession, root: str, corpus: DataFrame, progress: Callable[[str], None] | None = None) -> BuildStats:
     """Index a corpus(path, mtime, size, content) from nothing. Rows that share a path are one file."""
-    return _whole(spark, root, _grams(storage.spread(corpus, SPREAD_BYTES)), time.perf_counter(), progress or (lambda _: None))
+    with storage.cuts_deleted(spark):
+        return _whole(spark, root, storage.spread(corpus, SPREAD_BYTES), time.perf_counter(), progress or (lambda _: None))
 
 
 def update(
@@ -185,8 +230,8 @@ def update(
 ) -> BuildStats:
     """Index a corpus again, using what the live version has.
 
-    A path whose rows have the same times and sizes as before is left as it is, without reading its content. Of
-    other paths, rows of a content that the path had before use its grams again, the others' are made anew.
+    A path whose rows have the same times and sizes as before is left as it is, without reading its content. Rows
+    of other paths are indexed anew; those of a content that the path had before count as reused, not as read.
     Paths that went are left out. Without a readable version this is a full build. listing: (path, mtime, size)
     of the corpus, where it can be had for less; contents: makes rows of a corpus from some of the listing's.
     """
@@ -222,26 +267,28 @@ def _apply(
     """Publish a version in which the rows of changed paths are those of touched; removed: (path, mtime) to remember."""
     paths = _few(changed)
     old = index.cache().join(paths, "path", "left_semi")
-    known = old.where(F.col("size") != REMOVED).select("path", "content_hash", "grams").dropDuplicates(["path", "content_hash"])
-    hashed = touched.withColumn("content_hash", _hash(F.col("content")))
-    again = hashed.select("path", "mtime", "size", "content_hash").join(known, ["path", "content_hash"])
-    fresh = hashed.join(known.select("path", "content_hash"), ["path", "content_hash"], "left_anti")
-    columns = ["file_id", "path", "mtime", "size", "content_hash", "grams", "reused"]
-    rows = _grams(fresh).select(*columns).unionByName(again.select(file_id(F.col("path")).alias("file_id"), "path", "mtime", "size", "content_hash", "grams", F.lit(True).alias("reused")))
+    known = old.where(F.col("size") != REMOVED).select("path", F.col("content_hash").alias("_had")).distinct()
+    hashed = touched.withColumn("_hash", _hash(F.col("content")))
+    corpus = hashed.join(known.withColumnRenamed("path", "_path"), (F.col("path") == F.col("_path")) & (F.col("_hash") == F.col("_had")), "left")
+    corpus = corpus.select("path", "mtime", "size", "content", F.col("_had").isNotNull().alias("reused"))
+    marks = None
     if removed is not None:
-        marks = removed.select(file_id(F.col("path")).alias("file_id"), "path", "mtime", F.lit(REMOVED).cast("long").alias("size"))
-        rows = rows.unionByName(marks.select("*", F.lit(None).cast("string").alias("content_hash"), F.array().cast("array<bigint>").alias("grams"), F.lit(True).alias("reused")))
+        marks = removed.select(file_id(F.col("path")).alias("file_id"), "path", "mtime", F.lit(REMOVED).cast("long").alias("size"), F.lit(None).cast("string").alias("content_hash"))
+        marks = marks.select("*", F.lit(0).alias("n_grams"), F.lit(None).cast("long").alias("chunk"), F.lit(None).cast("int").alias("nth"), F.lit(True).alias("reused"))
     m = index.manifest
     gone = storage.cut(old.select("segment", "file_id", "size").distinct())
     n_gone = gone.where(F.col("size") != REMOVED).select("file_id").distinct().count()
     if len(m["segments"]) + 1 > MOST_SEGMENTS or m["dead"] + n_gone > MOST_DEAD * max(m["files"], 1):
-        kept = index.cache().join(paths, "path", "left_anti").withColumn("reused", F.lit(True))
-        return _whole(spark, root, rows.unionByName(kept.select(*columns)), started, tell)
+        cache = index.cache()
+        kept = cache.join(paths, "path", "left_anti")
+        before = kept.where(F.col("size") == REMOVED).withColumn("reused", F.lit(True)).drop("segment")
+        marks = before if marks is None else marks.unionByName(before.select(marks.columns))
+        return _whole(spark, root, corpus, started, tell, kept=index.kept(kept.where(F.col("size") != REMOVED)), removed=marks)
     version, name = _names(spark, root)
-    s = _write_segment(spark, root, name, rows, tell)
+    s = _write_segment(spark, root, name, corpus, tell, removed=marks)
     at = f"{root}/{version}"
     index.dead().unionByName(gone.select("segment", "file_id").distinct()).write.parquet(f"{at}/dead")
-    lost = storage.cut(old.select("file_id", F.explode("grams").alias("gram")).distinct().groupBy("gram").agg(F.count(F.lit(1)).alias("n")))
+    lost = storage.cut(index.grams_of(old.where(F.col("size") != REMOVED)).select("file_id", "gram").distinct().groupBy("gram").agg(F.count(F.lit(1)).alias("n")))
     index.dead_counts().unionByName(lost).groupBy("gram").agg(F.sum("n").alias("n")).write.parquet(f"{at}/dead_counts")
     more = _read(spark, TABLES["counts"], f"{root}/segments/{name}/counts")
     # Only grams of what changed can come or go.
@@ -311,9 +358,49 @@ class Index:
             out = one if out is None else out.unionByName(one)
         return out.join(_few(self.dead()), ["segment", "file_id"], "left_anti") if "extra" in self.manifest else out
 
+    def _chunk_rows(self, grams: list[int] | None = None) -> DataFrame:
+        """The postings of all segments, as they are stored, dead files' among them; grams: only of these."""
+        rows = _read(self.spark, TABLES["postings"], *self._segments("postings")).where(F.col("gram").isNotNull())
+        return rows if grams is None else rows.where(F.col("gram").isin(grams))  # reaches the pages' ranges
+
+    def _places(self) -> DataFrame:
+        """(chunk, nth, file_id) of live files."""
+        return self.cache().where(F.col("nth").isNotNull()).select("chunk", "nth", "file_id").distinct()
+
+    def _named(self, rows: DataFrame) -> DataFrame:
+        """(gram, file_id) of stored postings."""
+        each = rows.mapInArrow(ngrams.places_of_batches, "chunk long, nth int, gram long")
+        places = self._places()
+        return each.join(F.broadcast(places) if self.file_count() <= BROADCAST_PLACES else places, ["chunk", "nth"]).select("gram", "file_id")
+
+    def grams_of(self, rows: DataFrame) -> DataFrame:
+        """(chunk, nth, file_id, gram) of some rows of cache()."""
+        own = storage.cut(rows.select("chunk", "nth", "file_id").distinct())
+        each, wanted = self._chunk_rows(), None
+        if own.count() <= BROADCAST_PATHS:
+            few = own.select("chunk", "nth").toPandas()
+            wanted = {int(c): np.array(g, np.int64) for c, g in few.groupby("chunk")["nth"]}
+            each = each.join(F.broadcast(own.select("chunk").distinct()), "chunk", "left_semi")
+        places = each.mapInArrow(partial(ngrams.places_of_batches, wanted=wanted), "chunk long, nth int, gram long")
+        return places.join(F.broadcast(own) if wanted is not None else own, ["chunk", "nth"])
+
+    def kept(self, rows: DataFrame) -> DataFrame:
+        """Rows of CHUNK_SCHEMA of some rows of cache(): chunks without their other files."""
+        own = storage.cut(rows)
+        all_ = _read(self.spark, TABLES["grams"], *self._segments("grams")).where(F.col("nth").isNotNull()).select("chunk", "nth").distinct()
+        dead = all_.join(own.select("chunk", "nth"), ["chunk", "nth"], "left_anti")
+        schema = "chunk long, gram long, n int, ids binary"
+
+        def without(chunk: pa.Table, gone: pa.Table) -> pa.Table:
+            return ngrams.grams_without(chunk, gone.column("nth").to_numpy()) if chunk.num_rows else chunk
+
+        grams = self._chunk_rows().groupBy("chunk").cogroup(dead.groupBy("chunk")).applyInArrow(without, schema)
+        docs = own.withColumn("reused", F.lit(True)).drop("segment")
+        return docs.unionByName(grams, allowMissingColumns=True).select(*[c.split()[0] for c in ngrams.CHUNK_SCHEMA.split(", ")])
+
     @cached_property
     def _postings(self) -> DataFrame:
-        return self._live("postings").select("gram", "file_id")
+        return self._named(self._chunk_rows())
 
     @cached_property
     def _held_counts(self) -> tuple[np.ndarray, np.ndarray]:
@@ -335,11 +422,20 @@ class Index:
         return self._live("files").select("file_id", "path", "mtime", "size")
 
     def grams(self) -> DataFrame:
-        """(path, mtime, size, content_hash, grams) of each row of the corpus."""
-        return self.cache().where(F.col("size") != REMOVED).select("path", "mtime", "size", "content_hash", "grams")
+        """(path, mtime, size, content_hash, grams) of each row of the corpus; grams are the file's."""
+        rows = self.cache().where(F.col("size") != REMOVED)
+        each = self._chunk_rows().mapInArrow(ngrams.places_of_batches, "chunk long, nth int, gram long")
+        sets = each.groupBy("chunk", "nth").agg(F.sort_array(F.collect_list("gram")).alias("grams"))
+        held = F.coalesce("grams", F.array().cast("array<bigint>")).alias("grams")
+        return rows.join(sets, ["chunk", "nth"], "left").select("path", "mtime", "size", "content_hash", held)
+
+    def rows(self) -> DataFrame:
+        """(path, mtime, size, content_hash, n_grams) of each row of the corpus."""
+        return self.cache().where(F.col("size") != REMOVED).select("path", "mtime", "size", "content_hash", "n_grams")
 
-    def postings(self) -> DataFrame:
-        return self._postings
+    def postings(self, grams: list[int] | None = None) -> DataFrame:
+        """(gram, file_id), of some grams or all."""
+        return self._postings if grams is None else self._named(self._chunk_rows(grams))
 
     def file_count(self) -> int:
         return self.manifest["files"]
@@ -351,11 +447,11 @@ class Index:
         return self.manifest["postings"]
 
     def has_ngram(self, gram: int) -> bool:
-        return not self.postings().where(F.col("gram") == gram).isEmpty()
+        return not self.postings([gram]).isEmpty()
 
     def postings_of(self, gram: int) -> DataFrame:
         """(file_id) of one gram, in order."""
-        return self.postings().where(F.col("gram") == gram).select("file_id").orderBy("file_id")
+        return self.postings([gram]).select("file_id").orderBy("file_id")
 
     def counts(self) -> DataFrame:
         """(gram, n): live files of each gram."""
@@ -412,11 +508,21 @@ class Index:
         grams = {g for branches in taken for b in branches for g in b}
         if sum(n[g] for g in grams) > DRIVER_POSTINGS:
             return None
-        few = self.postings().where(F.col("gram").isin(sorted(grams))).toArrow()
-        gram, ids = (few.column(c).to_numpy() for c in ("gram", "file_id"))
+        few = self._chunk_rows(sorted(grams)).toArrow().combine_chunks()
+        if not few.num_rows:
+            return np.zeros(0, np.int64)
+        n_each = few.column("n").to_numpy().astype(np.int64)
+        chunks, at = np.unique(few.column("chunk").to_numpy(), return_inverse=True)
+        ids = np.repeat(at.astype(np.int64), n_each) << 32 | ngrams.decoded(few.column("ids").chunk(0), n_each)
+        gram = np.repeat(few.column("gram").to_numpy(), n_each)
         held = {g: np.unique(ids[gram == g]) for g in grams}
         each = [reduce(np.union1d, (reduce(np.intersect1d, (held[g] for g in b)) for b in branches)) for branches in taken]
-        return reduce(np.intersect1d, each)
+        found = reduce(np.intersect1d, each)
+        if not len(found):
+            return np.zeros(0, np.int64)
+        named = self.spark.createDataFrame(pa.table({"chunk": chunks[found >> 32], "nth": pa.array(found & 0xFFFFFFFF, pa.int32())}))
+        places = self.cache().where(F.col("chunk").isin(chunks[np.unique(found >> 32)].tolist())) if len(chunks) <= LISTED_IDS else self.cache()
+        return np.unique(places.join(F.broadcast(named), ["chunk", "nth"], "left_semi").select("file_id").toArrow().column("file_id").to_numpy())
 
     def candidates(self, plan: QueryPlan, frequency: dict[int, int] | None = None) -> DataFrame | None:
         """(file_id) of files that may match; None: any may. A file is there if each constrained side has a branch all of whose grams looked up it has."""
@@ -431,7 +537,7 @@ class Index:
                 if n.get(rarest[0], 0):  # else no file has all of them
                     rows += [(s, b, g, len(rarest)) for g in rarest]
         wanted = self.spark.createDataFrame(rows, "side int, branch int, gram long, n int")
-        few = self.postings().where(F.col("gram").isin(sorted({r[2] for r in rows})))  # reaches the row groups' ranges
+        few = self.postings(sorted({r[2] for r in rows}))
         # One shuffle, by file; both groupings below it are served by that.
         held = few.join(F.broadcast(wanted), "gram").repartition("file_id").groupBy("file_id", "side", "branch", "n").agg(F.count_distinct("gram").alias("have"))
         whole = held.where(F.col("have") == F.col("n"))

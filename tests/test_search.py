@@ -2,11 +2,16 @@ import hashlib
 import io
 import json
 import os
+import random
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import pytest
 from pyspark.sql import functions as F
 
 from siftline import cli
+from siftline.functions import ngrams
 from siftline.operators import index as ix
 from siftline.operators import search as op
 from siftline.plans.planner import decompose
@@ -337,3 +342,49 @@ def test_dense_ids_of_many_paths(spark, tmp_path):
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert got == list(enumerate([*sorted(str(i) for i in ids if i is not None), None, None]))
     assert op.file_ids(spark.createDataFrame([], "path string, x int")).count() == 0
+
+
+def test_postings_are_small(spark, tmp_path, monkeypatch):
+    """A posting takes few bytes, whatever it costs to say its gram and file; counts are the same by one range of grams and by many."""
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(3, 9))) for _ in range(2000)]
+    texts = [(i, " ".join(rng.choice(words) for _ in range(300))) for i in range(600)]
+    corpus, root = table_corpus(spark.createDataFrame(texts, "id long, t string").repartition(2), ["id"], "t"), str(tmp_path / "ix")
+    stats = ix.build(spark, root, corpus)
+    counts = rows_of(ix.Index.open(spark, root).counts())
+    assert stats.index_bytes < 6 * stats.postings and len(counts) == stats.ngrams
+    monkeypatch.setattr(ix, "COUNTED", 10_000)
+    many = ix.build(spark, root, corpus)
+    index = ix.Index.open(spark, root)
+    assert (many.postings, many.ngrams) == (stats.postings, stats.ngrams) and rows_of(index.counts()) == counts
+    assert index.postings().distinct().count() == stats.postings == index.rows().agg(F.sum("n_grams")).first()[0]
+
+
+def test_chunks(monkeypatch):
+    """Chunks are bounded, neighbours of one path are one file, and files that went leave no posting."""
+    monkeypatch.setattr(ngrams, "CHUNK", 5000)
+    monkeypatch.setattr(ngrams, "SORTED", 700)
+    rng = random.Random(1)
+    texts = [" ".join(rng.choice(["alpha", "beta", f"gamma{rng.randrange(500)}", "é"]) for _ in range(rng.randrange(200))) if i != 7 else None for i in range(200)]
+    paths = [f"p{i // 2 if i % 10 < 2 else i + 1000}" for i in range(200)]
+
+    def batch(a, b):
+        same = {"mtime": 0, "size": 1, "content_hash": "h", "reused": False}
+        return pa.RecordBatch.from_pylist([same | {"file_id": int(p[1:]), "path": p, "content": t and t.encode()} for p, t in zip(paths[a:b], texts[a:b], strict=True)])
+
+    out = pa.Table.from_batches(list(ngrams.chunks_of_batches(iter([batch(0, 101), batch(101, 102), batch(102, 200)]))))
+    docs = [r for r in out.to_pylist() if r["path"]]
+    assert [r["path"] for r in docs] == paths and len({r["chunk"] for r in docs}) > 3
+    path = {(r["chunk"], r["nth"]): r["path"] for r in docs}
+    rows = out.filter(pa.compute.is_valid(out["gram"])).select(["chunk", "gram", "n", "ids"])
+    of = lambda t, **o: [(r["chunk"], r["nth"], r["gram"]) for b in ngrams.places_of_batches(iter(t.to_batches()), **o) for r in b.to_pylist()]
+    got = of(rows, most=1000)
+    want = {(p, g) for p, t in zip(paths, texts, strict=True) if t for g in ngrams.gram_hashes(ngrams.fold(t.encode())).tolist()}
+    assert len(got) == len(set(got)) == len(want) and {(path[c, n], g) for c, n, g in got} == want
+    first = docs[0]["chunk"]
+    assert of(rows, wanted={first: np.array([1, 2])}) == [x for x in got if x[0] == first and x[1] in (1, 2)]
+    left = ngrams.grams_without(rows.filter(pa.compute.equal(rows["chunk"], first)), np.array([0, 3]))
+    assert sorted(of(left)) == sorted(x for x in got if x[0] == first and x[1] not in (0, 3))
+    places, begins = np.array([0, 1, 300, 70000, 5, 2**31 - 1, 0]), np.array([0, 4, 6])
+    data, offsets = ngrams.encoded(places, begins)
+    assert ngrams.decoded(ngrams._lists(data, offsets), np.array([4, 2, 1])).tolist() == places.tolist()
