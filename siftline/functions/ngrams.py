@@ -62,20 +62,26 @@ def spans(text: bytes, longest: int | None = LONGEST) -> list[tuple[int, int]]:
 
 
 def gram_hashes(text: bytes) -> np.ndarray:
-    """Distinct hashes of a folded text's grams, sorted; at most LONGEST - 2 passes over the text."""
+    """Distinct hashes of a folded text's grams, sorted; at most LONGEST - 2 passes, each over the places where a longer gram can still begin."""
     if len(text) < SHORTEST:
         return np.zeros(0, np.int64)
     b = np.frombuffer(text, np.uint8).astype(np.uint64)
-    w, found = _pair_weights(text), []
-    prime = np.uint64(FNV_PRIME)
-    h = np.full(len(b) - 1, FNV_BASIS, np.uint64)
-    h = ((h ^ b[:-1]) * prime ^ b[1:]) * prime  # of the two bytes at each place
-    inside: np.ndarray | None = None
-    for d in range(1, min(len(w), LONGEST - 1)):
-        h = (h[:-1] ^ b[d + 1 :]) * prime
-        inside = w[1:-1] if d == 2 else np.maximum(inside[:-1], w[d - 1 : -1]) if d > 2 else None
-        found.append(h if inside is None else h[inside < np.minimum(w[:-d], w[d:])])
-    return np.unique(np.concatenate(found)).view(np.int64)
+    w, prime = _pair_weights(text), np.uint64(FNV_PRIME)
+    h = (((np.uint64(FNV_BASIS) ^ b[:-2]) * prime ^ b[1:-1]) * prime ^ b[2:]) * prime  # of the three bytes at each place
+    found, at = [h], np.flatnonzero(w[1:] < w[:-1])
+    h, own, inside = h[at], w[at], w[at + 1]
+    for d in range(2, min(len(w), LONGEST - 1)):
+        if d > 2:  # what is inside only gets heavier
+            inside = np.maximum(inside, w[at + (d - 1)])
+            on = np.flatnonzero(inside < own)
+            at, h, own, inside = at[on], h[on], own[on], inside[on]
+        k = np.searchsorted(at, len(w) - d)
+        at, h, own, inside = at[:k], h[:k], own[:k], inside[:k]
+        h = (h ^ b[at + (d + 1)]) * prime
+        found.append(h[inside < w[at + d]])
+    grams = np.concatenate(found)
+    grams.sort()
+    return grams[np.append(True, grams[1:] != grams[:-1])].view(np.int64)
 
 
 def covering(literal: bytes, longest: int = LONGEST) -> list[bytes]:

@@ -166,7 +166,7 @@ def _write_segment(
         each, k = _read(spark, TABLES["postings"], f"{at}/postings"), min(COUNT_RANGES, most // COUNTED + 1)
         for i in range(k):
             low, high = ((j << 64) // k - (1 << 63) for j in (i, i + 1))
-            some = each.where(F.col("gram").between(low, high - 1)).groupBy("gram").agg(F.sum("n").cast("long").alias("n"))
+            some = each.where(F.col("gram").between(low, high - 1)).select("gram", "n").repartition("gram").groupBy("gram").agg(F.sum("n").cast("long").alias("n"))
             some.sortWithinPartitions("gram").write.mode("append").options(**CODED).parquet(f"{at}/counts")
         ngrams_, n_postings = spark.read.parquet(f"{at}/counts").agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
         tables = {t: storage.measure(spark, f"{at}/{t}") for t in TABLES}
