@@ -45,7 +45,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays, that of the least id (null ids last), then of the least hash.
 
     Linked are texts within SimHash's 2 bits, and texts whose five-word shingles have a Jaccard similarity of 0.8 or more
-    to a hub among those that share some of their shingles (see jaccard).
+    (see jaccard); no such link is lost, though only links between groups that others leave apart are looked for in all pairs.
     Null texts and texts without words aren't duplicates of each other.
     """
     key = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("i"), _h().alias("h"))

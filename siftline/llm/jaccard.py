@@ -5,8 +5,9 @@ that are similar enough share one of the first floor(n / 5) + 1 shingles of each
 well), so similar texts meet at a prefix shingle. There a text is compared with a hub, not with all others: the text
 at hand whose prefix shingles are shared most, which in a group of near copies is the one with the fewest changes.
 A text takes the hub that it meets most often; those that aren't similar to theirs go on to the next round without
-that hub. So links grow with the texts, never with the square of a group. What is linked is similar; a pair whose
-texts are both similar to no hub that they took stays apart (README has the measured share).
+that hub. So most links cost no more than the texts. The rest is exact: of texts that meet and that no links connect
+so far, each pair is looked at. Prefixes are longer by n // EXTRA, so similar texts share 1 + n // EXTRA of their
+shingles (n: of the smaller), and pairs that do are verified. In a group of near copies that is few against many.
 """
 
 from __future__ import annotations
@@ -20,10 +21,11 @@ from pyspark.sql import functions as F
 
 from .base import cut, rows_of
 from .decontaminate import _hashes
+from .simhash import components
 
 #: The least similarity, as a fraction.
 OVER, UNDER = 4, 5
-#: A prefix is longer by n // EXTRA shingles, so that hubs and how often they are met say more.
+#: A prefix is longer by n // EXTRA shingles, so that hubs and how often they are met say more, and that similar texts share more than one.
 EXTRA = 10
 #: Rounds of hubs.
 ROUNDS = 3
@@ -74,23 +76,41 @@ def _meetings(own: DataFrame) -> DataFrame:
 
 
 def _similar(own: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b), one for each a, that are similar enough."""
+    """The pairs (a, b) that are similar enough."""
     few = F.broadcast if pairs.count() <= BROADCAST_PAIRS else (lambda df: df)
-    sets = lambda df, *keep: df.dropDuplicates(["h"]).select(*keep, F.array_distinct(_hashes(F.col("text"))).alias(keep[-1] + "s"))
-    x = sets(own.join(few(pairs), F.col("h") == F.col("a")), "b", "a")
-    y = sets(own.join(few(pairs.select(F.col("b").alias("k")).distinct()), F.col("h") == F.col("k")).withColumnRenamed("k", "y"), "y")
+    asked = pairs.select(F.col("a").alias("k")).unionByName(pairs.select(F.col("b").alias("k"))).distinct()
+    some = own.join(few(asked), F.col("h") == F.col("k")).dropDuplicates(["h"])
+    sets = cut(some.select("h", F.array_distinct(_hashes(F.col("text"))).alias("s")))
+    x = sets.join(few(pairs), F.col("h") == F.col("a")).select("a", "b", F.col("s").alias("as"))
+    y = sets.select(F.col("h").alias("y"), F.col("s").alias("ys"))
     shared = F.size(F.array_intersect("as", "ys"))
     return x.join(y, F.col("b") == F.col("y")).where(shared * UNDER >= (F.size("as") + F.size("ys") - shared) * OVER).select("a", "b")
 
 
+def _rest(own: DataFrame, met: DataFrame, found: DataFrame) -> DataFrame:
+    """(a, b): a link between any two groups that links of found leave apart and that have similar texts."""
+    each = met.select("h", "n", "s").join(components(found).withColumnRenamed("node", "h"), "h", "left")
+    each = cut(each.select("h", "n", "s", F.coalesce("root", "h").alias("root")))
+    mixed = each.groupBy("s").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("s")
+    open_ = each.join(mixed, "s", "left_semi")
+    x, y = (open_.select("s", *[F.col(c).alias(f"{c}{k}") for c in ("h", "n", "root")]) for k in (1, 2))
+    small, large = F.least("n1", "n2"), F.greatest("n1", "n2")
+    across = x.join(y, "s").where((F.col("root1") < F.col("root2")) & (small * UNDER >= large * OVER))
+    times = across.groupBy("h1", "h2", "root1", "root2", small.alias("n")).agg(F.count(F.lit(1)).alias("times"))
+    asked = cut(times.where(F.col("times") > F.floor(F.col("n") / EXTRA)).select(F.col("h1").alias("a"), F.col("h2").alias("b"), "root1", "root2"))
+    similar = _similar(own, asked.select("a", "b")).join(asked, ["a", "b"])
+    return similar.groupBy("root1", "root2").agg(F.min(F.struct("a", "b")).alias("link")).select("link.a", "link.b")
+
+
 def links(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
-    """(a, b): hashes (xxhash64) of two different texts that are similar enough; each a once in a round.
+    """(a, b): hashes (xxhash64) of two different texts that are similar enough; links that connect all texts that such pairs connect.
 
     Words are runs of letters and digits, lower-cased; a text of fewer than five is one shingle. Null texts and
     texts without words are similar to none; repeated texts count once; an empty table gives an empty result.
     """
     own = docs.where(F.col(text_col).isNotNull()).select(F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
-    left, out = cut(_meetings(own)), None
+    met_all = left = cut(_meetings(own))
+    out = None
     for _ in range(rounds):
         hubs = left.groupBy("s").agg(F.max(F.struct("c", "h", "n")).alias("hub"))
         met = left.join(hubs, "s").where(F.col("h") != F.col("hub.h"))
@@ -100,4 +120,4 @@ def links(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS) -> Data
         found = cut(_similar(own, pairs))
         out = found if out is None else out.unionByName(found)
         left = cut(met.select("h", "n", "s", "c").join(found.select(F.col("a").alias("h")), "h", "left_anti"))
-    return out
+    return out.unionByName(cut(_rest(own, met_all, out)))

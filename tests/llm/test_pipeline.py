@@ -127,6 +127,24 @@ def test_a_large_group_of_near_copies(spark):
     assert sum(of[a] == of[b] for a, b in near) > 0.97 * len(near)
 
 
+def test_no_link_of_similar_texts_is_lost(spark):
+    """Chains, whose ends no hub is similar to, and groups of changed copies: what similar pairs connect is connected."""
+    rng = random.Random(8)
+    rows = []
+    for size, share in ((150, 0.02), (90, 0.03), (120, 0.025), (60, 0.012)):
+        base = [f"w{rng.randrange(5000)}" for _ in range(rng.choice([80, 150, 300]))]
+        rows += [" ".join(f"new{len(rows)}x{k}x{i}" if rng.random() < share else w for i, w in enumerate(base)) for k in range(size)]
+    words = [f"chain{i}" for i in range(400)]
+    rows += [" ".join(words[4 * k : 4 * k + 100]) for k in range(75)]
+    texts = list(dict.fromkeys(rows))
+    s = {t: brute.shingles(t) for t in texts}
+    near = {(a, b) for a in texts for b in texts if a < b and 5 * len(s[a] & s[b]) >= 4 * len(s[a] | s[b])}
+    got = pairs(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"))
+    of = groups(got, texts)
+    assert got <= near and len(near) > len(texts)
+    assert not [p for p in near if of[p[0]] != of[p[1]]] and of == groups(near, texts)
+
+
 def test_common_shingles_only_change_the_order(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "SAMPLE", 1)
     passage = " ".join(f"common{i}" for i in range(60))
