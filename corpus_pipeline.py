@@ -49,7 +49,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null texts and texts without words aren't duplicates of each other.
     """
     key = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("i"), _h().alias("h"))
-    groups = simhash.near_duplicates(docs.select(key.alias("key"), "text"), "key", more=jaccard.links(docs))
+    with storage.shuffles_deleted(spark):
+        groups = simhash.near_duplicates(docs.select(key.alias("key"), "text"), "key", more=jaccard.links(docs))
     return _without(docs, groups.where((F.col("fp") != 0) & (F.col("key") != F.col("component_id"))).select("key.i", "key.h"))
 
 

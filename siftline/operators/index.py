@@ -17,10 +17,9 @@ corpus that share a path are one file, which has the grams of all of them.
 
 from __future__ import annotations
 
-import contextlib
 import json
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import asdict, dataclass
 from functools import cached_property, partial, reduce
 
@@ -108,18 +107,6 @@ def _together(corpus: DataFrame, repeated: DataFrame) -> DataFrame:
     return corpus.join(paths, "path", "left_anti").unionByName(more)
 
 
-@contextlib.contextmanager
-def _shuffles_deleted(spark: SparkSession) -> Iterator[None]:
-    """What a query shuffles within is deleted at its end, not when the driver collects garbage."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, "true")
-    try:
-        yield
-    finally:
-        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
-
-
 def _few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_PATHS else df
 
@@ -139,7 +126,7 @@ def _write_segment(
     spark: SparkSession, root: str, name: str, corpus: DataFrame | None, tell: Callable[[str], None], kept: DataFrame | None = None, removed: DataFrame | None = None
 ) -> dict:
     """Write a segment of a corpus, rows of CHUNK_SCHEMA that are kept, and removed paths (rows of the grams table); what the manifest says of it."""
-    with _shuffles_deleted(spark):
+    with storage.shuffles_deleted(spark):
         at = f"{root}/segments/{name}"
         tell(f"writing postings to {at}")
 
