@@ -102,7 +102,7 @@ def covering(literal: bytes, longest: int = LONGEST) -> list[bytes]:
 
 
 #: Postings of a chunk, about, and of the range of grams that is sorted at once.
-CHUNK, SORTED = 16_000_000, 1_000_000
+CHUNK, SORTED = 24_000_000, 1_000_000
 #: Rows of a chunk: one for each row of a corpus (nth: its file's place in the chunk), then one for each gram (ids: places of n files).
 CHUNK_SCHEMA = "chunk long, nth int, file_id long, path string, mtime long, size long, content_hash string, n_grams int, reused boolean, gram long, n int, ids binary"
 _TYPES = (pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.bool_(), pa.int64(), pa.int32(), pa.binary())
@@ -185,20 +185,48 @@ def _lists(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data)])
 
 
-def _gram_rows(chunk: int, files: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """The rows of each gram of a chunk, in order. files: each one's grams, as gram_hashes() gives them."""
-    parts = sum(map(len, files)) // SORTED + 1
+class _Grams:
+    """Grams of a chunk's files, in order, one file after the other.
+
+    One array for all of them goes back to the system at once; many small ones would stay with a worker that is used again.
+    """
+
+    def __init__(self) -> None:
+        self.held, self.ends = np.empty(CHUNK + CHUNK // 8, np.int64), [0]
+
+    def add(self, grams: np.ndarray, same: bool) -> None:
+        """A file's grams, as gram_hashes() gives them; same: more of the last file."""
+        middle = np.searchsorted(grams.view(np.uint64), np.uint64(1 << 63))  # unsigned order; as signed longs, the upper half comes first
+        halves = [grams[middle:], grams[:middle]]
+        if same:
+            halves = [np.unique(np.concatenate([self.held[self.ends[-2] : self.ends[-1]], grams]))]
+            self.ends.pop()
+        at = self.ends[-1]
+        upto = at + sum(map(len, halves))
+        if upto > len(self.held):
+            more = np.empty(upto + CHUNK // 8, np.int64)
+            more[:at] = self.held[:at]
+            self.held = more
+        for half in halves:
+            self.held[at : at + len(half)] = half
+            at += len(half)
+        self.ends.append(upto)
+
+    def __len__(self) -> int:
+        return len(self.ends) - 1
+
+
+def _gram_rows(chunk: int, grams: _Grams) -> Iterator[pa.RecordBatch]:
+    """The rows of each gram of a chunk, in order."""
+    parts = grams.ends[-1] // SORTED + 1
     edges = np.array([(k << 64) // parts - (1 << 63) for k in range(1, parts)], np.int64)
-    signed = []
-    for g in files:  # unsigned order; as signed longs, the upper half comes first
-        middle = np.searchsorted(g.view(np.uint64), np.uint64(1 << 63))
-        signed.append(np.concatenate([g[middle:], g[:middle]]))
-    cuts = np.array([np.concatenate([[0], np.searchsorted(g, edges), [len(g)]]) for g in signed], np.int64).reshape(-1, parts + 1)
+    files = [grams.held[a:b] for a, b in zip(grams.ends, grams.ends[1:], strict=False)]
+    cuts = np.array([np.concatenate([[0], np.searchsorted(g, edges), [len(g)]]) for g in files], np.int64).reshape(-1, parts + 1)
     for k in range(parts):
         lens = cuts[:, k + 1] - cuts[:, k]
         if not lens.any():
             continue
-        gram = np.concatenate([g[a:b] for g, a, b in zip(signed, cuts[:, k], cuts[:, k + 1], strict=True)])
+        gram = np.concatenate([g[a:b] for g, a, b in zip(files, cuts[:, k], cuts[:, k + 1], strict=True)])
         order = np.argsort(gram)
         gram, place = gram[order], np.repeat(np.arange(len(files)), lens)[order]
         new = np.append(True, gram[1:] != gram[:-1])
@@ -212,7 +240,7 @@ def _gram_rows(chunk: int, files: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
 def chunks_of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For mapInArrow: chunks of rows (file_id, path, mtime, size, content_hash, reused, content). Neighbours of one path are one file."""
     keep = ["file_id", "path", "mtime", "size", "content_hash", "reused"]
-    chunk, files, held, last = uuid.uuid4().int >> 65, [], 0, None
+    chunk, files, last = uuid.uuid4().int >> 65, _Grams(), None
     for batch in batches:
         contents, paths = batch.column("content").cast(pa.binary()), batch.column("path").to_pylist()
         at, nth, counts = 0, [], []
@@ -222,22 +250,20 @@ def chunks_of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
             return _batch(len(nth), {c: of.column(c) for c in keep} | {"chunk": pa.array(np.full(len(nth), chunk)), "nth": pa.array(nth, pa.int32()), "n_grams": pa.array(counts, pa.int32())})
 
         for content, path in zip(contents, paths, strict=True):
-            if held >= CHUNK and path != last:
+            if files.ends[-1] >= CHUNK and path != last:
                 if nth:
                     yield rows()
                 yield from _gram_rows(chunk, files)
                 at += len(nth)
                 nth.clear()
                 counts.clear()
-                chunk, files, held = uuid.uuid4().int >> 65, [], 0
+                del files  # before there are others
+                chunk, files = uuid.uuid4().int >> 65, _Grams()
             grams = gram_hashes(fold(content.as_py())) if content.is_valid else np.zeros(0, np.int64)
-            if files and path == last:
-                files[-1] = np.unique(np.concatenate([files[-1], grams]).view(np.uint64)).view(np.int64)
-            else:
-                files.append(grams)
+            files.add(grams, len(files) > 0 and path == last)
             nth.append(len(files) - 1)
             counts.append(len(grams))
-            held, last = held + len(grams), path
+            last = path
         if nth:
             yield rows()
     yield from _gram_rows(chunk, files)

@@ -3,6 +3,7 @@ import io
 import json
 import os
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -388,3 +389,24 @@ def test_chunks(monkeypatch):
     places, begins = np.array([0, 1, 300, 70000, 5, 2**31 - 1, 0]), np.array([0, 4, 6])
     data, offsets = ngrams.encoded(places, begins)
     assert ngrams.decoded(ngrams._lists(data, offsets), np.array([4, 2, 1])).tolist() == places.tolist()
+
+
+def test_a_chunk_costs_little_memory(monkeypatch):
+    """Its grams are held once while it is written, in one array; a file larger than that, and more rows of it, find room."""
+    monkeypatch.setattr(ngrams, "CHUNK", 1_000_000)
+    monkeypatch.setattr(ngrams, "SORTED", 20_000)
+    rng = random.Random(5)
+    same = {"mtime": 0, "size": 1, "content_hash": "h", "reused": False, "file_id": 1}
+    batch = pa.RecordBatch.from_pylist([same | {"path": f"p{i}", "content": bytes(rng.choices(b"abcdefghijklmnopqrstuvwxyz ", k=9000))} for i in range(60)])
+    tracemalloc.start()
+    try:
+        n = sum(pa.compute.sum(b["n"]).as_py() or 0 for b in ngrams.chunks_of_batches(iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert 700_000 < n < ngrams.CHUNK and peak < 18 * n
+    monkeypatch.setattr(ngrams, "CHUNK", 2000)
+    some = pa.RecordBatch.from_pylist([same | {"path": p, "content": t} for p, t in (("a", b"before"), ("b", batch["content"][0].as_py()), ("b", batch["content"][1].as_py()), ("c", b"after"))])
+    out = pa.Table.from_batches(list(ngrams.chunks_of_batches(iter([some]))))
+    want = sum(len({g for t in ts for g in ngrams.gram_hashes(t).tolist()}) for ts in ([b"before"], batch["content"].to_pylist()[:2], [b"after"]))
+    assert pa.compute.sum(out["n"]).as_py() == want and len(set(out["chunk"].to_pylist())) == 2
